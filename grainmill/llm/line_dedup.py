@@ -11,7 +11,7 @@ and texts never move. Beyond, hosts are salted on both sides of an ordinary join
 
 Defined cases: null host: the page stays as it is; a host of fewer than min_pages pages stays as it is, since
 shares of few pages say nothing; null text stays null and counts as a page; equal rows count as pages each; an
-empty table gives no rows. All input columns are returned; the text, and a length column if named, are replaced.
+empty table gives no rows. Input columns travel in a struct, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -47,30 +47,29 @@ def boilerplate(docs: DataFrame, host: str, text: str, ratio: float = RATIO, min
     return over.groupBy("host").agg(F.collect_list("key").alias("keys"))  # at most (lines per page) / ratio
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", length: str | None = None, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """The input's columns with the text cleaned, and _n_lines, _n_dropped."""
-    drop = stored(boilerplate(docs, host, text, ratio, min_pages).withColumnRenamed("host", "_host").withColumnRenamed("keys", "_keys"))
-    size = drop.agg(F.coalesce(F.sum(F.size("_keys") * 16 + F.length("_host") + 32), F.lit(0)).alias("n")).first()["n"]
+def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+    """row: a struct of all input columns; text: the cleaned text; n_lines and n_dropped."""
+    drop = stored(boilerplate(docs, host, text, ratio, min_pages))
+    size = drop.agg(F.coalesce(F.sum(F.size("keys") * 16 + F.length("host") + 32), F.lit(0)).alias("n")).first()["n"]
+    df = docs.select(F.struct("*").alias("row"), F.col(host).alias("own"), F.col(text).alias("text"))
     if size <= BROADCAST_BYTES:
-        df = docs.join(F.broadcast(drop), F.col(host) == F.col("_host"), "left")
+        df = df.join(F.broadcast(drop), F.col("own") == F.col("host"), "left")
     else:
-        salted = drop.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        df = docs.withColumn("_own", F.pmod(F.xxhash64(text), F.lit(SALTS)))
-        df = df.join(salted, (F.col(host) == F.col("_host")) & (F.col("_own") == F.col("_salt")), "left")
-    lines = _lines(F.col(text))
-    kept = F.when(F.col("_keys").isNotNull(), F.filter(lines, lambda x: ~F.array_contains("_keys", _key(x)) | (F.trim(x) == ""))).otherwise(lines)
-    df = df.withColumn("_kept", kept).withColumn("_n_lines", F.coalesce(F.size(lines), F.lit(0)))
-    df = df.withColumn("_n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(lines))).withColumn("_n_dropped", F.when(F.col(text).isNull(), 0).otherwise(F.size(lines) - F.size("_kept")))
-    df = df.withColumn(text, F.when(F.col("_n_dropped") > 0, F.array_join("_kept", "\n")).otherwise(F.col(text)))
-    if length:
-        df = df.withColumn(length, F.length(text).cast(docs.schema[length].dataType))
-    return df.select(*docs.columns, "_n_lines", "_n_dropped")
+        salted = drop.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        df = df.withColumn("own_salt", F.pmod(F.xxhash64("text"), F.lit(SALTS)))
+        df = df.join(salted, (F.col("own") == F.col("host")) & (F.col("own_salt") == F.col("salt")), "left")
+    kept = F.when(F.col("keys").isNotNull(), F.filter(_lines(F.col("text")), lambda x: ~F.array_contains("keys", _key(x)) | (F.trim(x) == "")))
+    df = df.withColumn("kept", kept)
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines(F.col("text"))))
+    gone = F.when(F.col("kept").isNull(), 0).otherwise(n - F.size("kept"))
+    clean = F.when(F.col("n_dropped") > 0, F.array_join("kept", "\n")).otherwise(F.col("text"))
+    return df.withColumns({"n_lines": n, "n_dropped": gone}).select("row", clean.alias("text"), "n_lines", "n_dropped")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_dropped, SHA-256 of the cleaned text (null: of the empty text)."""
     df = drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return df.select("doc_id", F.col("_n_lines").cast("long").alias("n_lines"), F.col("_n_dropped").cast("long").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    return df.select("row.doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 SQL = f"""

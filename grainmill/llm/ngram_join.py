@@ -240,7 +240,7 @@ def link_forest(docs: DataFrame, sigs: DataFrame, id_col: str, text: str) -> Dat
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per input row: id, n_shingles, component_id."""
+    """Per input row: id, n_shingles, component_id, fp (the set's fingerprint)."""
     heavy = heavy_shingles(docs, text)
     sigs = stored(signatures(docs, id_col, text, heavy))
     roots = components(link_forest(docs, sigs, id_col, text))
@@ -249,7 +249,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     least = own.groupBy("root").agg(F.min("_least").alias("component_id"))
     ids = own.join(least, "root").select("fp", "component_id")
     rows = sigs.select(id_col, "n", "fp").join(ids, "fp", "left")
-    return rows.select(id_col, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col(id_col)).alias("component_id"))
+    return rows.select(id_col, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col(id_col)).alias("component_id"), "fp")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The input's rows, one of each component: that of the least id. Wordless texts and null ids stay. Ids that
+    several rows have are told apart by their sets, and one row of equal ones stays."""
+    found = stored(near_duplicates(docs, id_col, text).where(F.col(id_col).isNotNull()).toDF("id", "n", "component", "fp"))
+    repeated = stored(found.where("n > 0").groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").select("id"))
+    gone = stored(found.where("component <> id").select("id").unionAll(repeated).distinct())
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"))
+    few = gone.count() <= BROADCAST_IDS
+    out = rows.join(F.broadcast(gone) if few else gone, "id", "left_anti").select("row.*")
+    if not repeated.isEmpty():
+        again = rows.join(repeated, "id", "left_semi").select("id", "row", F.col(f"row.{text}").cast("binary").alias("t"))
+        kind = again.schema["row"].dataType.simpleString()
+        id_kind = again.schema["id"].dataType.simpleString()
+
+        def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sets = [s for texts in _batches(batch.column(2)) for s in shingle_sets(texts)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([fingerprint(s) if len(s) else 0 for s in sets], pa.int64())], ["id", "row", "fp"])
+
+        again = again.mapInArrow(prints, f"id {id_kind}, row {kind}, fp long")
+        wordless = again.where("fp = 0").select("row.*")
+        heads = found.where("n > 0 AND component = id").groupBy("component").agg(F.min("fp").alias("fp")).withColumnRenamed("component", "id")
+        one = again.join(heads, ["id", "fp"]).groupBy("id", "fp").agg(F.first("row").alias("row")).select("row.*")
+        out = out.unionAll(wordless).unionAll(one)
+    return out
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

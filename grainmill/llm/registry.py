@@ -24,7 +24,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
-    "op2_ngram_join": op2_ngram_join,
     "op4_secret_scan": secret_scan.SQL,
     "op5_line_dedup": line_dedup.SQL,
     "op6_maxscore": maxscore.SQL,

@@ -308,30 +308,28 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     return lex
 
 
-def score(docs: DataFrame, lex: Lexicon, text: str = "text", keep_text: bool = False) -> DataFrame:
-    """The input's columns (the text only with keep_text), score, n_hits and predicted."""
-    kept = [c for c in docs.columns if keep_text or c != text]
-    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in kept)
+def score(docs: DataFrame, lex: Lexicon, text: str = "text") -> DataFrame:
+    """row: a struct of all input columns; score, n_hits and predicted."""
+    kind = docs.select(F.struct("*").alias("row")).schema["row"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(lex)  # MAX_TERMS terms at most
-    given = [c for c in kept if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         slope, offset = own.curve
         for batch in batches:
-            for at, texts in by_size(batch.column(len(given))):
+            for at, texts in by_size(batch.column(1)):
                 low = [(t or "").lower() for t in texts]
                 found = hits(low, own)
                 x = [1 / (1 + math.exp(-max(-40.0, min(40.0, slope * evidence(t, h, own) + offset)))) for t, h in zip(low, found, strict=True)]
-                cols = {c: batch.column(i).slice(at, len(texts)) for i, c in enumerate([*given, text])}
-                yield pa.RecordBatch.from_arrays([*[cols[c] for c in kept], pa.array(x, pa.float64()), pa.array(map(len, found), pa.int32()), pa.array([int(v >= 0.5) for v in x], pa.int32())], [*kept, "score", "n_hits", "predicted"])
+                columns = [batch.column(0).slice(at, len(texts)), pa.array(x, pa.float64()), pa.array([len(h) for h in found], pa.int32()), pa.array([int(v >= 0.5) for v in x], pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "score", "n_hits", "predicted"])
 
-    return docs.select(*given, text).mapInArrow(run, f"{schema}score double, n_hits int, predicted int")
+    return docs.select(F.struct("*").alias("row"), F.col(text).alias("text")).mapInArrow(run, f"row {kind}, score double, n_hits int, predicted int")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     learn = lambda df: df.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     lex = fit(learn(docs), learn(table(spark, sf_dir, "labels")))
-    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
-    return score(docs.select("doc_id", held_out.alias("held_out"), "text"), lex)
+    held_out = F.coalesce(F.crc32(F.col("row.doc_id").cast("string")) % 5 == 0, F.lit(False))
+    return score(docs, lex).select("row.doc_id", held_out.alias("held_out"), "score", "predicted", "n_hits")
