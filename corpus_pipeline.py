@@ -3,17 +3,45 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from grainmill.llm import packing
+from grainmill.llm import line_dedup, ngram_join, packing, secret_scan, toxicity
 from grainmill.llm._common import stored, table
 
 
+def _with_text(df: DataFrame, clean: str, columns: list[str]) -> DataFrame:
+    """The columns of `row` with the new text and its length."""
+    new = {"text": F.col(clean), "n_chars": F.length(clean).cast("long")}
+    return df.select(*[new[c].alias(c) if c in new else F.col(f"row.{c}").alias(c) for c in columns])
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go; the lexicon is learned from the labelled ones among them."""
+    lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, lexicon).where("predicted = 0").select("row.*")
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Boilerplate lines of each source go; every document stays."""
+    return _with_text(line_dedup.drop_boilerplate(docs), "text", docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return ngram_join.keep_one(docs)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets and linked parts are masked; every document stays."""
+    return _with_text(secret_scan.redact(docs), "clean", docs.columns)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the cleaned documents into windows; one row per piece."""
     return packing.pack_frame(docs)
 
 
-STAGES = [("packing", pack)]
+STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_lines), ("ngram_join", drop_near_copies), ("secret_scan", mask_secrets), ("packing", pack)]
 ORACLE_SQL = None
 
 
