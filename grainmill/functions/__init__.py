@@ -1,0 +1,5 @@
+"""Scalar functions over columns."""
+
+from grainmill.functions.hashing import hash_mod, hash_murmur, hash_offset, hash_polynomial, hash_universal, slab_buckets
+
+__all__ = ["hash_mod", "hash_murmur", "hash_offset", "hash_polynomial", "hash_universal", "slab_buckets"]

@@ -1,0 +1,31 @@
+"""Looking at plans: which strategy ran, what reached the scan."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame
+
+JOIN_NODES = {"broadcast": "BroadcastHashJoin", "shuffle_hash": "ShuffledHashJoin", "merge": "SortMergeJoin", "nested_loop": "CartesianProduct"}
+
+
+def executed_plan(df: DataFrame, run: bool = True) -> str:
+    """The physical plan; with run, after execution, as adaptive execution left it."""
+    if run:
+        df.write.format("noop").mode("overwrite").save()
+        df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def nodes(df: DataFrame) -> list[str]:
+    return re.findall(r"(\w*Join\w*|CartesianProduct|HashAggregate|SortAggregate|Exchange|Window|Sort)\b", executed_plan(df))
+
+
+def pushed_filters(df: DataFrame) -> str:
+    found = re.findall(r"PushedFilters: \[([^\]]*)\]", executed_plan(df, run=False))
+    return " ".join(found)
+
+
+def read_columns(df: DataFrame) -> list[str]:
+    """Columns that the scans read."""
+    return [c.split(":")[0] for s in re.findall(r"ReadSchema: struct<([^>]*)>", executed_plan(df, run=False)) for c in s.split(",") if c]

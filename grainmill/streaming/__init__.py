@@ -1,0 +1,2 @@
+"""Nothing here: none of the operators needs a stream. Projections, filters and grouped sums take streaming frames
+as they are, since they are plain DataFrame functions (tests/test_harness.py runs them on one)."""
