@@ -1,11 +1,11 @@
 """Operator 2: n-gram Jaccard join with signature trees; exact for a similarity of 0.8 or more.
 
-1. Shingle counts over all documents find frequent shingles (HEAVY per task chunk at least); at most MAX_HEAVY of
-   them order last. Any order gives the same links; this one keeps common passages out of prefixes.
+1. Shingle counts over all documents find frequent shingles (repeated within a chunk of documents, HEAVY times in
+   all); at most MAX_HEAVY of them order last. Any order gives the same links; this one keeps common passages out of prefixes.
 2. Each distinct set gets its prefix: two sets that link share one of the size - ceil(0.8 size) + 1 first shingles
    of either in that order. Exact copies share a fingerprint and are one node from here on.
 3. Rows (shingle, set) are sorted by shingle; the sets that share one form part of the unit of its least set.
-   Units above UNIT sets are split into blocks and pairs of blocks, so no task gathers an unbounded group.
+   Sets without a partner of fitting size leave it, and units above UNIT sets are split into blocks and pairs of blocks, so no task gathers an unbounded group.
 4. In each unit a signature tree (see signature_tree) prunes pairs; the sets with a possible partner go on with
    their whole shingle sets, and the same trees and exact intersections find the unit's links. A unit reports its
    links as a spanning forest: pairs within a component are never listed.
@@ -59,7 +59,7 @@ def heavy_shingles(docs: DataFrame, text: str) -> np.ndarray:
 
         def out() -> pa.RecordBatch:
             tokens, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= 3
+            often = n >= 2
             return pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["token", "n"])
 
         for batch in batches:
@@ -221,10 +221,13 @@ def link_forest(docs: DataFrame, sigs: DataFrame, id_col: str, text: str) -> Dat
     rows = sigs.where(F.col("prefix").isNotNull()).select(F.explode("prefix").alias("token"), "fp")
     parts = rows.repartition(F.col("token")).sortWithinPartitions("token", "fp")
     members = stored(parts.mapInArrow(_units, "unit long, fp long").distinct())
-    sizes = members.groupBy("unit").agg(F.count("*").alias("size"))
-    blocks = F.greatest(F.ceil(F.col("size") / LARGE_UNIT), F.least(F.ceil(F.col("size") / UNIT), F.lit(MANY_BLOCKS))).cast("long")
     bits = sigs.where(F.col("bits").isNotNull()).select("fp", "n", "bits")
-    whole = members.join(sizes.select("unit", blocks.alias("blocks")), "unit").withColumn("block", F.pmod(F.xxhash64("fp", "unit"), F.col("blocks")))
+    classed = members.join(bits.select("fp", F.floor(F.log(F.col("n")) / np.log(1.25)).alias("c")).distinct(), "fp")
+    # sizes that can link are in the same or in neighbouring classes; a unit has some dozens of classes at most
+    by_class = classed.groupBy("unit", "c").agg(F.count("*").alias("k")).groupBy("unit").agg(F.sum("k").alias("size"), F.collect_list(F.struct("c", "k")).alias("classes"))
+    blocks = F.greatest(F.ceil(F.col("size") / LARGE_UNIT), F.least(F.ceil(F.col("size") / UNIT), F.lit(MANY_BLOCKS))).cast("long")
+    partners = F.aggregate(F.filter("classes", lambda x: F.abs(x["c"] - F.col("c")) <= 1), F.lit(0).cast("long"), lambda acc, x: acc + x["k"])
+    whole = classed.join(by_class, "unit").where(partners > 1).select("unit", "fp", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("fp", "unit"), F.col("blocks")))
     pairs = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j"))))
     whole = whole.join(bits, "fp").select("unit", pairs.alias("p"), "block", "fp", "n", "bits").select("unit", "p.i", "p.j", "block", "fp", "n", "bits")
     grouped = whole.repartition("unit", "i", "j").sortWithinPartitions("unit", "i", "j")
