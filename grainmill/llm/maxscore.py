@@ -1,12 +1,15 @@
 """Operator 6: exact top-k by inner product of integer vectors with MaxScore.
 
-A term is a dimension and a sign; its postings are the candidates whose component has that sign, so they add to the
-score of a query whose component has it too, by at most the term's bound. Per shard and query, some candidates are
-scored fully for a first threshold; terms in ascending order of their bounds whose bounds together stay below the
-threshold are non-essential. Essential postings are traversed into accumulators, then the other terms and those of
-opposite sign are probed, largest bound first, for candidates that are still competitive. What remains has its
-exact score. Shards hold SHARD_ROWS rows by a hash of the id; query blocks meet every shard by an equi-join on the
-shard's number (a stated query set against all rows), and a per-query top-k merges the shards' results.
+A term is a dimension; its postings are the shard's impacts in it, and its bound for a query is the largest product
+they allow. A block of queries goes through a shard together. Terms are ordered by their bounds over the block.
+After the first terms some candidates of each query are scored fully, which gives its threshold. Terms are essential
+as long as the bounds of those that remain could lift many candidates over the threshold: their postings are
+traversed into accumulators for all queries at once. The other terms are probed, a few at a time, only for
+candidates that are still competitive, and what remains has its exact score. Shards hold SHARD_ROWS rows by a hash
+of the id; query blocks meet every shard by an equi-join on the shard's number (a stated query set against all
+rows), and a per-query top-k merges the shards' results.
+
+Scores are sums of whole numbers: doubles while they are below 2**53, which is checked per block, else 64-bit.
 
 Defined cases: rows whose vector is null, of another length than the most common one, or has null or non-finite
 components take no part; zero vectors do; null ids take no part; equal rows are candidates each; fewer candidates
@@ -26,60 +29,55 @@ from grainmill.llm._common import stored, table
 from grainmill.llm.hnsw import query_blocks, stacked, top_k, usable
 
 SHARD_ROWS, QUERY_ROWS, SEEDS = 8192, 256, 64
-STEP = 6  # terms between checks of what is still competitive
+STEP = 8  # terms between checks of what is still competitive
+FEW = 1 / 24  # share of competitive candidates below which probing costs less than traversing
 
 
 class Postings:
-    """Of one shard: ids ascending, impacts by dimension, and for each dimension and sign the places that have it."""
+    """Of one shard: ids, impacts by dimension, and their least and largest value."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray) -> None:
         self.ids, self.by_dim = ids, np.ascontiguousarray(x.T)
-        self.places = {(d, s): np.flatnonzero(row * s > 0) for d, row in enumerate(self.by_dim) for s in (1, -1)}
-        self.most = {t: int(np.abs(self.by_dim[t[0], p]).max()) if len(p) else 0 for t, p in self.places.items()}
-
-    def top(self, qid: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(places, scores) of the k best without the query's own id, ties to the smaller id."""
-        n = len(self.ids)
-        terms = [(abs(int(v)) * self.most[d, 1 if v > 0 else -1], d, 1 if v > 0 else -1) for d, v in enumerate(q) if v]
-        terms.sort(reverse=True)
-        acc = np.zeros(n, np.int64)
-        own = self.ids == qid
-        used = 0
-        for _, d, s in terms[:4]:  # a first threshold from the best of the largest terms
-            p = self.places[d, s]
-            acc[p] += q[d] * self.by_dim[d, p]
-            used += 1
-        count = min(n, max(SEEDS, 2 * k))
-        seeds = np.argpartition(-acc, count - 1)[:count] if n else np.zeros(0, np.int64)
-        seeds = seeds[~own[seeds]]
-        exact = q @ self.by_dim[:, seeds]
-        threshold = int(np.partition(exact, len(exact) - k)[len(exact) - k]) if len(exact) >= k else -(1 << 62)
-        rest = np.cumsum([b for b, _, _ in terms[::-1]])[::-1].tolist() + [0]  # bounds from here on
-        while used < len(terms) and rest[used] >= threshold:  # essential postings
-            _, d, s = terms[used]
-            p = self.places[d, s]
-            acc[p] += q[d] * self.by_dim[d, p]
-            used += 1
-            if used % STEP == 0 and np.count_nonzero(acc + rest[used] >= threshold) * 8 < n:
-                break  # few are competitive: probing costs less than traversing
-        live = np.flatnonzero((acc + rest[used] >= threshold) & ~own)
-        score = acc[live]
-        left = terms[used:]
-        for k_, (_, d, s) in enumerate(left):  # probes of what adds
-            v = self.by_dim[d, live]
-            score = score + q[d] * np.where(v * s > 0, v, 0)
-            if k_ % STEP == STEP - 1:
-                ok = score + rest[used + k_ + 1] >= threshold
-                live, score = live[ok], score[ok]
-        against = sorted(((abs(int(v)) * self.most[d, -1 if v > 0 else 1], d) for d, v in enumerate(q) if v), reverse=True)
-        for k_, (_, d) in enumerate(against):  # and of what subtracts
-            part = q[d] * self.by_dim[d, live]
-            score = score + np.minimum(part, 0)
-            if k_ % STEP == STEP - 1:
-                ok = score >= threshold
-                live, score = live[ok], score[ok]
-        best = np.lexsort((self.ids[live], -score))[:k]
-        return live[best], score[best]
+        self.least, self.most = self.by_dim.min(1), self.by_dim.max(1)
+
+    def top(self, qid: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, place, score) of the k best of each query without its own id, ties to the smaller id."""
+        n, dims = len(self.ids), q.shape[1]
+        large = int(max(abs(int(self.least.min())), abs(int(self.most.max())), 1)) * int(np.abs(q).max() if q.size else 1) * dims
+        kind = np.float64 if large < 1 << 53 else np.int64
+        bound = np.maximum(q * self.most, q * self.least)
+        order = np.argsort(-bound.sum(0), kind="stable")
+        q, bound, x = q[:, order].astype(kind), bound[:, order], self.by_dim[order].astype(kind)
+        rest = np.concatenate([np.cumsum(bound[:, ::-1], axis=1)[:, ::-1], np.zeros((len(q), 1), bound.dtype)], 1)  # from each term on
+        own = self.ids[None] == qid[:, None]
+        acc, used, threshold = np.zeros((len(q), n), kind), 0, None
+        live = ~own
+        while used < dims:  # essential terms
+            to = min(dims, used + STEP)
+            acc += q[:, used:to] @ x[used:to]
+            used = to
+            if threshold is None:
+                count = min(n, max(SEEDS, 2 * k))
+                seeds = np.argpartition(np.where(own, np.inf, -acc.astype(float)), count - 1, axis=1)[:, :count]
+                exact = np.stack([q[j] @ x[:, s] for j, s in enumerate(seeds)]).astype(float)
+                exact[np.take_along_axis(own, seeds, 1)] = -np.inf
+                threshold = -np.partition(-exact, k - 1, axis=1)[:, k - 1] if count >= k else np.full(len(q), -np.inf)
+            live = (acc >= (threshold - rest[:, used])[:, None]) & ~own
+            if np.count_nonzero(live) <= FEW * live.size:
+                break
+        j, p = np.nonzero(live)
+        score = acc[j, p]
+        while used < dims and len(j):  # probes
+            to = min(dims, used + STEP)
+            for d in range(used, to):
+                score = score + q[j, d] * x[d, p]
+            used = to
+            ok = score >= (threshold - rest[:, used])[j]
+            j, p, score = j[ok], p[ok], score[ok]
+        by = np.lexsort((self.ids[p], -score, j))
+        j, p, score = j[by], p[by], score[by]
+        best = np.arange(len(j)) - np.searchsorted(j, j) < k
+        return j[best], p[best], score[best].astype(np.int64)
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,11 +111,8 @@ def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
             shard = Postings(ids, np.frombuffer(row["vectors"], np.int64).reshape(len(ids), -1))
             qid = np.frombuffer(row["query_ids"], np.int64)
             q = np.frombuffer(row["query_vectors"], np.float64).reshape(len(qid), -1).astype(np.int64)
-            found = [shard.top(int(i), v, k) for i, v in zip(qid, q, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(qid, [len(f[0]) for f in found])), pa.array(np.concatenate([ids[f[0]] for f in found])), pa.array(np.concatenate([f[1] for f in found]))],
-                ["query_id", "vec_id", "score"],
-            )
+            j, p, score = shard.top(qid, q, k)
+            yield pa.RecordBatch.from_arrays([pa.array(qid[j]), pa.array(ids[p]), pa.array(score)], ["query_id", "vec_id", "score"])
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
