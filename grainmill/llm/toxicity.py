@@ -308,9 +308,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     return lex
 
 
-def score(docs: DataFrame, lex: Lexicon, text: str = "text") -> DataFrame:
-    """row: a struct of all input columns; score, n_hits and predicted."""
-    kind = docs.select(F.struct("*").alias("row")).schema["row"].dataType.simpleString()
+def score(docs: DataFrame, lex: Lexicon, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """row: a struct of the columns to keep (all, unless named); score, n_hits and predicted."""
+    row = F.struct(*(keep or ["*"])).alias("row")
+    kind = docs.select(row).schema["row"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(lex)  # MAX_TERMS terms at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,7 +325,7 @@ def score(docs: DataFrame, lex: Lexicon, text: str = "text") -> DataFrame:
                 columns = [batch.column(0).slice(at, len(texts)), pa.array(x, pa.float64()), pa.array([len(h) for h in found], pa.int32()), pa.array([int(v >= 0.5) for v in x], pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, ["row", "score", "n_hits", "predicted"])
 
-    return docs.select(F.struct("*").alias("row"), F.col(text).alias("text")).mapInArrow(run, f"row {kind}, score double, n_hits int, predicted int")
+    return docs.select(row, F.col(text).alias("text")).mapInArrow(run, f"row {kind}, score double, n_hits int, predicted int")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -332,4 +333,4 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     lex = fit(learn(docs), learn(table(spark, sf_dir, "labels")))
     held_out = F.coalesce(F.crc32(F.col("row.doc_id").cast("string")) % 5 == 0, F.lit(False))
-    return score(docs, lex).select("row.doc_id", held_out.alias("held_out"), "score", "predicted", "n_hits")
+    return score(docs, lex, keep=["doc_id"]).select("row.doc_id", held_out.alias("held_out"), "score", "predicted", "n_hits")
