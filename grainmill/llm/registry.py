@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from grainmill.llm import line_dedup, maxscore, secret_scan, url_rules
+from grainmill.llm import line_dedup, maxscore, ngram_sql, secret_scan, url_rules
 from grainmill.llm.bpe_codec import op10_bpe_codec
 from grainmill.llm.hnsw import op3_hnsw
 from grainmill.llm.language_id import op1_language_id
@@ -24,6 +24,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_ngram_join": ngram_sql.SQL,
     "op4_secret_scan": secret_scan.SQL,
     "op5_line_dedup": line_dedup.SQL,
     "op6_maxscore": maxscore.SQL,
