@@ -280,6 +280,12 @@ def query_blocks(queries: DataFrame, rows: int, count: int, shards: int) -> Data
     return blocks.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
 
 
+def meet(blocks: DataFrame, index: DataFrame, shards: int) -> DataFrame:
+    """Query blocks beside the shard they are for. Both sides are dealt by shard first: a shard's index moves once,
+    and a task repeats it for its query blocks only while it streams them."""
+    return blocks.repartition(shards, "shard").join(index.repartition(shards, "shard"), "shard")
+
+
 def top_k(found: DataFrame, k: int, best_first) -> DataFrame:
     """Merges shard results; Spark cuts each partition's groups to k before the shuffle."""
     w = Window.partitionBy("query_id").orderBy(best_first, "vec_id")
@@ -291,7 +297,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, ef: int = EF_SEARCH)
     n, m = vectors.count(), queries.count()
     shards = max(1, -(-n // SHARD_ROWS))
     index = build_index(vectors, k, shards)
-    work = query_blocks(queries, QUERY_ROWS, m, shards).join(index, "shard").repartition(max(shards, 8), "shard", F.xxhash64("query_ids"))
+    work = meet(query_blocks(queries, QUERY_ROWS, m, shards), index, shards)
     return top_k(work.mapInArrow(lambda b: _search(b, k, ef), "query_id long, vec_id long, score double"), k, F.col("score"))
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainmill.llm._common import stored, table
-from grainmill.llm.hnsw import query_blocks, stacked, top_k, usable
+from grainmill.llm.hnsw import meet, query_blocks, stacked, top_k, usable
 
 SHARD_ROWS, QUERY_ROWS, SEEDS = 8192, 256, 64
 STEP = 8  # terms between checks of what is still competitive
@@ -121,7 +121,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     shards = max(1, -(-n // SHARD_ROWS))
     dealt = vectors.select(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), "id", "v").repartition(shards, "shard").sortWithinPartitions("shard", "id")
     index = stored(dealt.mapInArrow(_index, "shard long, ids binary, vectors binary"))
-    work = query_blocks(queries, QUERY_ROWS, m, shards).join(index, "shard").repartition(max(shards * -(-m // QUERY_ROWS), 8), "shard", F.xxhash64("query_ids"))
+    work = meet(query_blocks(queries, QUERY_ROWS, m, shards), index, shards)
     return top_k(work.select("query_ids", "query_vectors", "ids", "vectors").mapInArrow(lambda b: _search(b, k), "query_id long, vec_id long, score long"), k, F.desc("score"))
 
 
