@@ -34,7 +34,8 @@ from grainmill.llm.components import components
 from grainmill.llm.signature_tree import Union, bitmap, candidates
 
 HEAVY, MAX_HEAVY = 48, 1 << 17
-UNIT, MANY_BLOCKS, LARGE_UNIT = 256, 16, 4096
+UNIT, MANY_BLOCKS, LARGE_UNIT = 512, 8, 4096
+CLASSES = 4  # of sizes, per factor of 1.25
 BROADCAST_IDS = 2_000_000
 CHUNK = 2_000_000
 
@@ -222,11 +223,11 @@ def link_forest(docs: DataFrame, sigs: DataFrame, id_col: str, text: str) -> Dat
     parts = rows.repartition(F.col("token")).sortWithinPartitions("token", "fp")
     members = stored(parts.mapInArrow(_units, "unit long, fp long").distinct())
     bits = sigs.where(F.col("bits").isNotNull()).select("fp", "n", "bits")
-    classed = members.join(bits.select("fp", F.floor(F.log(F.col("n")) / np.log(1.25)).alias("c")).distinct(), "fp")
-    # sizes that can link are in the same or in neighbouring classes; a unit has some dozens of classes at most
+    classed = members.join(bits.select("fp", F.floor(F.log(F.col("n")) * (CLASSES / np.log(1.25))).alias("c")).distinct(), "fp")
+    # sizes that can link are CLASSES classes apart at most; a unit has a few hundred classes at most
     by_class = classed.groupBy("unit", "c").agg(F.count("*").alias("k")).groupBy("unit").agg(F.sum("k").alias("size"), F.collect_list(F.struct("c", "k")).alias("classes"))
     blocks = F.greatest(F.ceil(F.col("size") / LARGE_UNIT), F.least(F.ceil(F.col("size") / UNIT), F.lit(MANY_BLOCKS))).cast("long")
-    partners = F.aggregate(F.filter("classes", lambda x: F.abs(x["c"] - F.col("c")) <= 1), F.lit(0).cast("long"), lambda acc, x: acc + x["k"])
+    partners = F.aggregate(F.filter("classes", lambda x: F.abs(x["c"] - F.col("c")) <= CLASSES), F.lit(0).cast("long"), lambda acc, x: acc + x["k"])
     whole = classed.join(by_class, "unit").where(partners > 1).select("unit", "fp", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("fp", "unit"), F.col("blocks")))
     pairs = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j"))))
     whole = whole.join(bits, "fp").select("unit", pairs.alias("p"), "block", "fp", "n", "bits").select("unit", "p.i", "p.j", "block", "fp", "n", "bits")
@@ -283,4 +284,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("fp")

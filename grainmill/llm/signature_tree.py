@@ -1,7 +1,7 @@
 """Signature trees: nodes hold the OR of their members' token bitmaps, the range of their sizes and the largest
 number of tokens that share a bit; dual traversal prunes pairs of nodes by the largest overlap they allow.
 
-A bitmap has a power of two of at least 8 bits per token (a token's bit is its hash modulo the width), so a wider
+A bitmap has a power of two of at least 4 bits per token (a token's bit is its hash modulo the width), so a wider
 one folds to a narrower one. Shared tokens share bits, hence for sets a and b, and for nodes above them,
 overlap <= shared bits + min(tokens beyond one per bit); a link needs 9 * overlap >= 4 * (size a + size b),
 which is a Jaccard similarity of 0.8.
@@ -19,7 +19,7 @@ MIN_BITS, MAX_BITS = 256, 1 << 20
 
 
 def bits_for(size: int) -> int:
-    return min(MAX_BITS, max(MIN_BITS, 1 << (8 * max(size, 1) - 1).bit_length()))
+    return min(MAX_BITS, max(MIN_BITS, 1 << (4 * max(size, 1) - 1).bit_length()))
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
