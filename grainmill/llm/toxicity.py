@@ -6,7 +6,7 @@ trie into one deterministic automaton; whole batches of words step through it at
 found at the price of exact ones. Edits are allowed by length (EDITS) and never on the first letter; digits stand
 for the letters they look like. Each hit has its term's learned weight, a discount if misspelled, and a factor from
 its context window: quotation marks and verbs of saying lower it, address and further hits raise it. A logistic
-curve, fitted on the same labelled sample, turns the sum into the score.
+curve, fitted on the labelled documents with hits, turns the sum into the score; without hits it is their rate.
 
 Fitting uses at most SAMPLE_POSITIVE + SAMPLE_NEGATIVE labelled rows (by hash of the id; whole texts), and keeps at
 most MAX_TERMS terms. Scoring is row by row: no shuffle, memory of a batch.
@@ -31,10 +31,12 @@ from grainmill.llm._common import WORKER_STATE, table
 from grainmill.llm._text import by_size, code_points
 
 SAMPLE_POSITIVE, SAMPLE_NEGATIVE = 1500, 4500
-MAX_TERMS, MIN_SUPPORT, MIN_RATIO = 96, 3, 18.0  # MIN_RATIO: likelihood-ratio statistic of a term
+MAX_TERMS, MAX_SHORT, MIN_SUPPORT = 96, 600, 3
+MIN_RATIO, STRONG, MIN_LIFT = 16.0, 60.0, 30.0  # likelihood-ratio statistics of a term; rate among toxic over rate among others
 EDITS = [(0, 0), (5, 1), (9, 2)]  # from this length on, so many edits; stems are held one step shorter
 STEM = (3, 12)
 WINDOW = 60  # code points on either side
+MOST = 20.0  # evidence of one text
 LOOKS_LIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 QUOTES = "\"“”„«»‘’"
 SAYING = {"said", "says", "quote", "quoted", "quoting", "called", "wrote", "word", "term", "dit", "mot", "sagte", "wort", "dijo", "palabra"}
@@ -61,7 +63,8 @@ class Lexicon:
     table: np.ndarray = field(default_factory=lambda: np.zeros((1, 1), np.int32))
     accepts: np.ndarray = field(default_factory=lambda: np.full((1, 2), -1, np.int32))  # term and edits at a word's end
     depth: int = 0
-    curve: tuple[float, float] = (0.0, -50.0)
+    curve: tuple[float, float] = (0.0, -50.0)  # slope and offset where there is evidence
+    base: float = 0.0  # score without any
 
 
 def edits_for(term: str) -> int:
@@ -195,10 +198,20 @@ def context(text: str, own: tuple, all_hits: list[tuple]) -> float:
 
 
 def evidence(text: str, found: list[tuple], lex: Lexicon) -> float:
+    found = [h for h in found if h[3] == 0 or lex.fuzzy[h[2]] > 0]
     if not found:
         return 0.0
-    each = sorted((lex.weights[h[2]] if h[3] == 0 else lex.fuzzy[h[2]]) * context(text, h, found) for h in found[:2000])
-    return each[-1] + 0.5 * math.log1p(max(0.0, sum(each[:-1])))
+    each = [(lex.weights[h[2]] if h[3] == 0 else lex.fuzzy[h[2]]) * context(text, h, found) for h in found]
+    return min(sum(each), MOST)
+
+
+def _words(text: str | None) -> set[str]:
+    return {w for w in "".join(c if c.isalpha() else " " for c in (text or "").lower()).split() if len(w) >= STEM[0]}
+
+
+def _forms(word: str) -> list[str]:
+    """The word and its stems."""
+    return [word, *[word[:k] + "*" for k in range(STEM[0], min(len(word), STEM[1] + 1))]]
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,40 +219,55 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     toxic, other = Counter(), Counter()
     for batch in batches:
         for text, label in zip(batch.column(0), batch.column(1), strict=True):
-            low = (text.as_py() or "").lower()
-            words = {w for w in "".join(c if c.isalpha() else " " for c in low).split() if len(w) >= STEM[0]}
-            terms = set(words)
-            for w in words:
-                terms.update([w[:k] + "*" for k in range(STEM[0], min(len(w), STEM[1] + 1))])
-            (toxic if label.as_py() else other).update(terms)
+            (toxic if label.as_py() else other).update({t for w in _words(text.as_py()) for t in _forms(w)})
     names = [t for t in toxic | other if len(t) <= 40]
     for k in range(0, len(names), 100_000):
         part = names[k : k + 100_000]
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([toxic[t] for t in part], pa.int64()), pa.array([other[t] for t in part], pa.int64())], ["term", "pos", "neg"])
 
 
-def choose(rows: list[tuple[str, int, int]], n_pos: int, n_neg: int) -> list[tuple[str, float]]:
-    """Terms and weights from (term, toxic documents, other documents): strongest first, each adding to the others."""
-
-    def ratio(p: int, q: int) -> float:
-        total = n_pos + n_neg
-        cells = [(p, (p + q) * n_pos), (q, (p + q) * n_neg), (n_pos - p, (total - p - q) * n_pos), (n_neg - q, (total - p - q) * n_neg)]
-        return 2 * sum(o * math.log(o * total / e) for o, e in cells if o and e)
-
-    good = [(ratio(p, q), t, p, q) for t, p, q in rows if p >= MIN_SUPPORT and p * n_neg > 8 * q * n_pos]
-    good = sorted((x for x in good if x[0] >= MIN_RATIO), key=lambda x: (-round(x[0], 6), -len(x[1]), x[1]))
-    chosen: list[tuple[str, int, int]] = []
-    for _, t, p, q in good:
-        body = t.rstrip("*")
-        inside = any(c[0].endswith("*") and body.startswith(c[0][:-1]) for c in chosen)  # a chosen stem covers it
-        wider = [c for c in chosen if t.endswith("*") and c[0].startswith(body)]  # it covers chosen terms
-        if inside or wider and p - max(c[1] for c in wider) < max(MIN_SUPPORT, 0.1 * p) and sum(c[1] for c in wider) >= 0.9 * p:
-            continue
-        chosen.append((t, p, q))
-        if len(chosen) == MAX_TERMS:
+def _ratio(p: np.ndarray, q: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
+    """Likelihood-ratio statistic of terms in p of n_pos toxic and q of n_neg other documents."""
+    total = n_pos + n_neg
+    out = np.zeros(len(p))
+    for o, e in ((p, (p + q) * n_pos), (q, (p + q) * n_neg), (n_pos - p, (total - p - q) * n_pos), (n_neg - q, (total - p - q) * n_neg)):
+        ok = (o > 0) & (e > 0)
+        out[ok] += 2 * o[ok] * np.log(o[ok] * total / e[ok])
+    return out
+
+
+def shortlist(rows: list[tuple[str, int, int]], n_pos: int, n_neg: int) -> list[str]:
+    """The MAX_SHORT strongest precise terms of (term, toxic documents, other documents); of equal ones whole words,
+    then the longest stem."""
+    good = [(t, p, q) for t, p, q in rows if p >= MIN_SUPPORT and p * n_neg > MIN_LIFT * q * n_pos]
+    ratio = _ratio(np.array([x[1] for x in good], float), np.array([x[2] for x in good], float), n_pos, n_neg) if good else []
+    order = sorted((-round(float(r), 6), x[0].endswith("*"), -len(x[0]), x[0]) for r, x in zip(ratio, good, strict=True) if r >= MIN_RATIO)
+    return [x[3] for x in order[:MAX_SHORT]]
+
+
+def choose(terms: list[str], toxic: np.ndarray, other: np.ndarray) -> list[tuple[str, float]]:
+    """Terms and weights from documents x terms matrices. Each step takes the term that best explains the toxic
+    documents that no chosen term explains yet, so chance terms find nothing left to explain; then terms that are
+    strong by themselves (STRONG) join, unless a chosen stem holds them."""
+    n_pos, n_neg = len(toxic), len(other)
+    p, q = toxic.sum(0).astype(float), other.sum(0).astype(float)
+    chosen: list[int] = []
+    left = np.ones(n_pos, bool)
+    while left.any() and len(chosen) < MAX_TERMS and len(terms):
+        own = toxic[left].sum(0).astype(float)
+        ratio = np.where(own >= MIN_SUPPORT, _ratio(own, q, int(left.sum()), n_neg), 0.0)
+        best = int(ratio.argmax())
+        if ratio[best] < MIN_RATIO:
             break
-    weight = lambda p, q: math.log((p + 0.5) / (n_pos + 1)) - math.log((q + 0.5) / (n_neg + 1))
-    return [(t, weight(p, q)) for t, p, q in chosen]
+        chosen.append(best)
+        left &= ~toxic[:, best]
+    whole = _ratio(p, q, n_pos, n_neg)
+    for k in np.argsort(-whole, kind="stable"):
+        body = terms[k].rstrip("*")
+        held = any(terms[c].endswith("*") and body.startswith(terms[c][:-1]) or terms[k].endswith("*") and terms[c].startswith(body) for c in chosen)
+        if k not in chosen and whole[k] >= STRONG and p[k] >= 0.02 * n_pos and not held and len(chosen) < MAX_TERMS:
+            chosen.append(int(k))
+    return [(terms[k], math.log((p[k] + 0.5) / (n_pos + 1)) - math.log((q[k] + 0.5) / (n_neg + 1))) for k in chosen]
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -273,7 +301,29 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
         lift = (F.col("pos") / max(n_pos, 1)) / ((F.col("neg") + 0.5) / max(n_neg, 1))
         best = terms.where((F.col("pos") >= MIN_SUPPORT) & (lift > 4)).orderBy(F.desc("pos"), "neg", "term").limit(20_000)
         rows = [tuple(r) for r in best.collect()]
-        chosen_terms = choose(rows, n_pos, n_neg)
+        short = shortlist(rows, n_pos, n_neg)
+        place = {t: k for k, t in enumerate(short)}
+
+        def holds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Which shortlisted terms each document holds."""
+            for batch in batches:
+                found = []
+                for text in batch.column(0):
+                    terms_ = set()
+                    for w in _words(text.as_py()):
+                        terms_.update(place[t] for t in _forms(w) if t in place)
+                    found.append(sorted(terms_))
+                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["toxic", "terms"])
+
+        held = sample.mapInArrow(holds, "toxic int, terms array<int>").collect()  # the sample's rows, MAX_SHORT places each
+        sides = []
+        for side in (1, 0):
+            own = [r["terms"] for r in held if r["toxic"] == side]
+            m = np.zeros((len(own), len(short)), bool)
+            for i, places in enumerate(own):
+                m[i, places] = True
+            sides.append(m)
+        chosen_terms = choose(short, *sides)
         lex = automaton(Lexicon([t for t, _ in chosen_terms], [w for _, w in chosen_terms], [w for _, w in chosen_terms]))
 
         def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +341,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
         for t, w in enumerate(lex.weights):
             p, q = spelled.get((t, 1), 0), spelled.get((t, 0), 0)
             own = math.log((p + 1) / (n_pos + 1)) - math.log((q + 1) / (n_neg + 1))
-            lex.fuzzy[t] = max(0.0, min(0.8 * w, 0.8 * w if not q else own * 0.8))
+            lex.fuzzy[t] = 0.8 * min(w, own) if q and own >= 2 else 0.0 if q else 0.8 * w
 
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -304,7 +354,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
         xy = sample.mapInArrow(sums, "x double, toxic int").toPandas()
     finally:
         sample.unpersist()
-    lex.curve = logistic(xy["x"].to_numpy(), xy["toxic"].to_numpy(dtype=float))
+    x, y = xy["x"].to_numpy(), xy["toxic"].to_numpy(dtype=float)
+    lex.base = float((y[x == 0].sum() + 1) / ((x == 0).sum() + 2))
+    none = np.zeros(max(3, int(0.05 * (x > 0).sum())))  # so that the curve starts low
+    lex.curve = logistic(np.append(x[x > 0], none), np.append(y[x > 0], none))
     return lex
 
 
@@ -321,7 +374,8 @@ def score(docs: DataFrame, lex: Lexicon, text: str = "text", keep: list[str] | N
             for at, texts in by_size(batch.column(1)):
                 low = [(t or "").lower() for t in texts]
                 found = hits(low, own)
-                x = [1 / (1 + math.exp(-max(-40.0, min(40.0, slope * evidence(t, h, own) + offset)))) for t, h in zip(low, found, strict=True)]
+                x = [evidence(t, h, own) for t, h in zip(low, found, strict=True)]
+                x = [1 / (1 + math.exp(-max(-40.0, min(40.0, slope * e + offset)))) if e else own.base for e in x]
                 columns = [batch.column(0).slice(at, len(texts)), pa.array(x, pa.float64()), pa.array([len(h) for h in found], pa.int32()), pa.array([int(v >= 0.5) for v in x], pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, ["row", "score", "n_hits", "predicted"])
 
