@@ -32,7 +32,7 @@ from grainmill.llm._text import by_size, code_points
 
 SAMPLE_POSITIVE, SAMPLE_NEGATIVE = 1500, 4500
 MAX_TERMS, MAX_SHORT, MIN_SUPPORT = 96, 600, 3
-MIN_RATIO, STRONG, MIN_LIFT = 16.0, 60.0, 30.0  # likelihood-ratio statistics of a term; rate among toxic over rate among others
+MIN_RATIO, STRONG, MIN_LIFT = 13.0, 60.0, 30.0  # likelihood-ratio statistics of a term; rate among toxic over rate among others
 EDITS = [(0, 0), (5, 1), (9, 2)]  # from this length on, so many edits; stems are held one step shorter
 STEM = (3, 12)
 WINDOW = 60  # code points on either side
@@ -262,10 +262,11 @@ def choose(terms: list[str], toxic: np.ndarray, other: np.ndarray) -> list[tuple
         chosen.append(best)
         left &= ~toxic[:, best]
     whole = _ratio(p, q, n_pos, n_neg)
+    enough = max(MIN_RATIO, min(STRONG, 0.5 * whole.max(initial=0.0)))  # less where few documents are labelled
     for k in np.argsort(-whole, kind="stable"):
         body = terms[k].rstrip("*")
         held = any(terms[c].endswith("*") and body.startswith(terms[c][:-1]) or terms[k].endswith("*") and terms[c].startswith(body) for c in chosen)
-        if k not in chosen and whole[k] >= STRONG and p[k] >= 0.02 * n_pos and not held and len(chosen) < MAX_TERMS:
+        if k not in chosen and whole[k] >= enough and p[k] >= 0.02 * n_pos and not held and len(chosen) < MAX_TERMS:
             chosen.append(int(k))
     return [(terms[k], math.log((p[k] + 0.5) / (n_pos + 1)) - math.log((q[k] + 0.5) / (n_neg + 1))) for k in chosen]
 
