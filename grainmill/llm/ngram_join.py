@@ -244,22 +244,23 @@ def link_forest(docs: DataFrame, sigs: DataFrame, id_col: str, text: str) -> Dat
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per input row: id, n_shingles, component_id, fp (the set's fingerprint)."""
+    """Per input row: id, n_shingles, component_id, fp (the set's fingerprint), root (the component's least fingerprint).
+    Components whose rows repeat an id may share the component_id, never the root."""
     heavy = heavy_shingles(docs, text)
     sigs = stored(signatures(docs, id_col, text, heavy))
     roots = components(link_forest(docs, sigs, id_col, text))
     own = sigs.where("n > 0").groupBy("fp").agg(F.min(id_col).alias("_least"))
     own = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = own.groupBy("root").agg(F.min("_least").alias("component_id"))
-    ids = own.join(least, "root").select("fp", "component_id")
+    ids = own.join(least, "root").select("fp", "component_id", "root")
     rows = sigs.select(id_col, "n", "fp").join(ids, "fp", "left")
-    return rows.select(id_col, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col(id_col)).alias("component_id"), "fp")
+    return rows.select(id_col, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col(id_col)).alias("component_id"), "fp", "root")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The input's rows, one of each component: that of the least id. Wordless texts and null ids stay. Ids that
-    several rows have are told apart by their sets, and one row of equal ones stays."""
-    found = stored(near_duplicates(docs, id_col, text).where(F.col(id_col).isNotNull()).toDF("id", "n", "component", "fp"))
+    """The input's rows, one of each component: that of the least id, then the least fingerprint. Wordless texts and
+    null ids stay. Ids that several rows have are told apart by their sets, and one row of equal ones stays."""
+    found = stored(near_duplicates(docs, id_col, text).where(F.col(id_col).isNotNull()).toDF("id", "n", "component", "fp", "root"))
     repeated = stored(found.where("n > 0").groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").select("id"))
     gone = stored(found.where("component <> id").select("id").unionAll(repeated).distinct())
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"))
@@ -277,11 +278,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
 
         again = again.mapInArrow(prints, f"id {id_kind}, row {kind}, fp long")
         wordless = again.where("fp = 0").select("row.*")
-        heads = found.where("n > 0 AND component = id").groupBy("component").agg(F.min("fp").alias("fp")).withColumnRenamed("component", "id")
+        heads = found.where("n > 0 AND component = id").groupBy("component", "root").agg(F.min("fp").alias("fp")).select(F.col("component").alias("id"), "fp")
         one = again.join(heads, ["id", "fp"]).groupBy("id", "fp").agg(F.first("row").alias("row")).select("row.*")
         out = out.unionAll(wordless).unionAll(one)
     return out
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("fp")
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("fp", "root")

@@ -115,6 +115,33 @@ def test_keep_one_of_each_group(spark):
     assert ngram_join.keep_one(cases.empty(spark)).count() == 0 and set(ngram_join.keep_one(cases.documents(spark)).columns) == set(cases.documents(spark).columns)
 
 
+def groups_of_rows(rows):
+    """Row indices of each component of rows with words, by index and not by id."""
+    sets, found = [words_of(t) for _, t in rows], []
+    for k, a in enumerate(sets):
+        near = [g for g in found if any(100 * len(a & sets[j]) >= 80 * len(a | sets[j]) for j in g)] if a else []
+        found = [g for g in found if g not in near] + ([sum(near, [k])] if a else [])
+    return found
+
+
+@pytest.mark.parametrize("ids", ["few", "many"])
+def test_keep_one_of_each_group_where_ids_repeat(spark, monkeypatch, ids):
+    if ids == "many":
+        monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 0)
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    rows = [(5, a), (5, b), (9, b + " end"), (9, a + " end"), (3, b + " x y z"), (5, "c d e f g h"), (7, ""), (7, None)]
+    r = random.Random(6)
+    rows += [(100 + r.randint(0, 14), t) for _, t in corpus(6, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = Counter((x["doc_id"], x["text"]) for x in ngram_join.keep_one(df).collect())
+    worded = Counter({x: n for x, n in kept.items() if words_of(x[1])})
+    for group in groups_of_rows(rows):
+        here = {rows[k] for k in group}
+        assert sum(n for x, n in worded.items() if x in here) == 1
+        assert min(i for i, _ in here) in [i for i, _ in worded if (i, _) in here]
+    assert kept - worded == Counter(x for x in rows if not words_of(x[1])) and sum(worded.values()) == len(groups_of_rows(rows))
+
+
 def test_bounds_never_lose_a_link():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
