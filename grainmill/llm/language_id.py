@@ -5,8 +5,10 @@ that script. Letter trigrams (with word ends) give every word a log-likelihood i
 the words with a switching penalty labels spans. The language with most letters is the prediction; the score is
 its share of the letters.
 
-A path without a switch is provably best when no stretch of words gains more than the penalty in any other
-language, which cumulative sums over a whole batch decide; only the other texts run Viterbi word by word.
+A path without a switch is provably best when no stretch of words gains half the penalty in any other language: a
+path with m >= 2 stretches outside the best language gains less than m / 2 penalties and pays m - 1 at least, and one
+with a single such stretch and a switch pays more than it gains. Cumulative sums over a whole batch decide that; only
+the other texts run Viterbi word by word.
 
 The model is fitted on a bounded sample of labelled rows (SAMPLE_ROWS, by hash of the id; whole texts) and holds
 BUCKETS x languages counts, at most MAX_LANGUAGES languages. Prediction is row by row: no shuffle, memory of a
@@ -143,7 +145,7 @@ def label(texts: list[str], model: Model, penalty: float = SWITCH) -> list[tuple
     most = np.maximum.reduceat(total + step - np.minimum.accumulate(before + step, axis=0), start, axis=0).max(1)
     for j, k in enumerate(full):
         a, b = words[k], words[k + 1]
-        if most[j] <= penalty:
+        if most[j] < penalty / 2:
             out[k] = (model.languages[best[j]], 1.0, 1)
         else:
             path = viterbi(scores[a:b], penalty)

@@ -32,6 +32,29 @@ def test_viterbi_against_all_paths():
         assert abs(cost(tuple(language_id.viterbi(x, 5.0))) - cost(best)) < 1e-9
 
 
+def plain_label(text, model):
+    """label() of one text with words by Viterbi alone."""
+    bucket, _, first, _, _ = language_id.trigrams([text])
+    path = language_id.viterbi(np.add.reduceat(model.scores[bucket], first, axis=0).astype(float))
+    share = np.bincount(path, weights=np.diff(np.append(first, len(bucket))), minlength=len(model.languages))
+    return model.languages[share.argmax()], float(share.max() / share.sum()), 1 + int(np.count_nonzero(np.diff(path)))
+
+
+def test_shortcut_gives_the_path_of_viterbi():
+    scripts = np.ones((len(language_id.SCRIPT_NAMES), 3), bool)
+    model = language_id.Model(["a", "b", "c"], np.zeros((language_id.BUCKETS, 3), np.float32), scripts)
+    (p, q), *_ = language_id.trigrams(["x y"])
+    model.scores[p], model.scores[q] = [0, -9, -4], [-9, 0, -4]
+    text = "x x x y y y"  # c is best as a whole, and loses 12 = 0.86 SWITCH in each half
+    assert plain_label(text, model) == ("a", 0.5, 2)
+    assert language_id.label([text, "x x"], model) == [("a", 0.5, 2), ("a", 1.0, 1)]
+    r, rng = random.Random(8), np.random.default_rng(8)
+    model.scores = rng.normal(0, 2.5, model.scores.shape).astype(np.float32)
+    texts = [" ".join("".join(r.choice("etaoins") for _ in range(r.randint(1, 4))) for _ in range(r.randint(1, 25))) for _ in range(3000)]
+    fast, slow = language_id.label(texts, model), [plain_label(t, model) for t in texts]
+    assert fast == slow and 300 < sum(n > 1 for _, _, n in slow) < 2700
+
+
 @pytest.fixture(scope="module")
 def languages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
