@@ -1,10 +1,10 @@
 """Operator 9 (native): URL filters by pattern rules indexed on their rarest literal token.
 
 Each rule has literal tokens, whole runs of [a-z0-9] that every url it fits must hold. One pass over all urls
-counts those tokens (the result is as small as the rule set), and each rule is filed under its rarest one. A url's
-own tokens then fetch the candidate rules, and only those run their regular expression, all within the row: no
-shuffle, no join, no Python. The rule set travels as literals in the plan, so it is meant for rule sets of up to
-some thousands (MAX_RULES is checked).
+counts those tokens (the result is as small as the rule set), and each rule is filed under its rarest one, or, where
+a fitting url must hold one of several literals, under the rarest of each. A url's own tokens then fetch the
+candidate rules, and only those run their regular expression, all within the row: no shuffle, no join, no Python. The
+rule set travels as literals in the plan, so it is meant for rule sets of up to some thousands (MAX_RULES is checked).
 
 Null urls and urls without `://` have empty host and path and fit no rule. Equal rows give equal results; an empty
 table gives no rows; other columns are not read.
@@ -26,7 +26,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 @dataclass(frozen=True)
 class Rule:
-    """A regular expression over host + path; `literal` is text in it, `name` is None for the method's own rules."""
+    """A regular expression over host + path; `literal` is text in it, or several alternatives split by |, one of
+    which is; `name` is None for the method's own rules."""
 
     verdict: str
     regex: str
@@ -35,9 +36,14 @@ class Rule:
 
     @property
     def tokens(self) -> list[str]:
-        """Tokens that stand whole in every fitting url: those with a sign, or an anchor (^), on both sides."""
+        """Tokens that stand whole in every fitting url (of all alternatives): those with a sign, or an anchor (^), on both sides."""
         return re.findall(r"(?<![a-z0-9])[a-z0-9]+(?=[^a-z0-9])", self.literal.lower())
 
+    @property
+    def alternatives(self) -> list[list[str]]:
+        """The tokens of each alternative; every fitting url holds all tokens of one."""
+        return [Rule(self.verdict, self.regex, x).tokens for x in self.literal.split("|")]
+
 
 def host_path(verdict: str, name: str) -> Rule:
     """Fits the host and its subdomains where the path starts with the rule's."""
@@ -59,9 +65,9 @@ HOST_RULES = [
 PATTERN_RULES = [
     Rule("block", r"^(?:[^/]*[.-])?casino[.-]", ".casino."),
     Rule("block", r"^(?:[^/]*[.-])?poker[.-]", ".poker."),
-    Rule("block", r"^(?:[^/]*[.-])?(?:ads|ad)[.-](?:track|server|click)[.-]", ""),
+    Rule("block", r"^(?:[^/]*[.-])?(?:ads|ad)[.-](?:track|server|click)[.-]", "|".join(f".{a}.{b}." for a in ("ads", "ad") for b in ("track", "server", "click"))),
     Rule("block", r"^(?:[^/]*[.-])?doubleclick[.-]", ".doubleclick."),
-    Rule("block", r"^[^/]*/(?:[^/]*/)*login(?:[/.]|$)", ""),
+    Rule("block", r"^[^/]*/(?:[^/]*/)*login(?:[/.]|$)", "/login/"),
     Rule("block", r"^[^/]*/(?:[^/]*/)*wp-admin/", "/wp-admin/"),
 ]
 
@@ -94,8 +100,9 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url: str
     index: dict[str, list[int]] = {}
     always = []
     for i, r in enumerate(rules):
-        if r.tokens:
-            index.setdefault(min(r.tokens, key=lambda t: (counts.get(t, 0), -len(t), t)), []).append(i)
+        if all(r.alternatives):
+            for t in sorted({min(own, key=lambda t: (counts.get(t, 0), -len(t), t)) for own in r.alternatives}):
+                index.setdefault(t, []).append(i)
         else:
             always.append(i)  # no literal token: always a candidate
     rows = F.array(*[F.struct(F.lit(r.regex).alias("regex"), F.lit(r.name).cast("string").alias("name"), F.lit(r.verdict).alias("verdict")) for r in rules])
@@ -103,7 +110,7 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url: str
     by_token = F.create_map(*[x for t, found in index.items() for x in (F.lit(t), F.array(*map(F.lit, found)))])
     df = pages.select(F.col(id_col), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     df = df.withColumn("_at", F.concat("host", "path"))
-    fetched = F.flatten(F.transform(F.array_intersect(_tokens(F.col("_at")), keys), lambda t: by_token[t])) if index else F.array().cast("array<int>")
+    fetched = F.array_distinct(F.flatten(F.transform(F.array_intersect(_tokens(F.col("_at")), keys), lambda t: by_token[t]))) if index else F.array().cast("array<int>")
     df = df.withColumn("_candidates", F.concat(fetched, F.array(*map(F.lit, always)).cast("array<int>")))
     df = df.withColumn("_fit", F.filter(F.transform("_candidates", lambda i: rows[i]), lambda r: F.regexp_like(F.col("_at"), r["regex"])))
     named = F.filter("_fit", lambda r: r["name"].isNotNull())

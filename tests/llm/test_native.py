@@ -1,5 +1,6 @@
 """Secret scans, line dedup and URL rules."""
 
+import random
 import re
 from collections import Counter
 
@@ -124,3 +125,18 @@ def test_rules_are_filed_under_their_rarest_token(spark):
     assert url_rules.host_path("allow", "www.example.com/en/").tokens == ["www", "example", "com", "en"]
     assert url_rules.Rule("block", "x", "/foo").tokens == []  # its end isn't bounded
     assert url_rules.judge(df.limit(0).withColumn("page_id", F.lit(1)), url_rules.HOST_RULES).count() == 0
+
+
+def test_every_rule_is_fetched_by_a_token():
+    own = url_rules.PATTERN_RULES
+    assert all(all(r.alternatives) for r in url_rules.HOST_RULES + own)  # none runs on every url
+    parts = ["ads", "ad", "track", "server", "click", "login", "casino", "poker", "doubleclick", "wp-admin", "x", "Login", "blogin", ".", "-", "/", "/", ".", "\n"]
+    r, fits = random.Random(5), Counter()
+    for _ in range(40000):
+        at = "".join(r.choice(parts) for _ in range(r.randint(1, 9)))
+        tokens = set(re.split("[^a-z0-9]+", at.lower()))
+        for k, rule in enumerate(own):
+            if re.search(rule.regex, at):
+                fits[k] += 1
+                assert any(tokens >= set(x) for x in rule.alternatives), at
+    assert len(fits) == len(own)
