@@ -8,8 +8,8 @@ for the letters they look like. Each hit has its term's learned weight, a discou
 its context window: quotation marks and verbs of saying lower it, address and further hits raise it. A logistic
 curve, fitted on the labelled documents with hits, turns the sum into the score; without hits it is their rate.
 
-Fitting uses at most SAMPLE_POSITIVE + SAMPLE_NEGATIVE labelled rows (by hash of the id; whole texts), and keeps at
-most MAX_TERMS terms. Scoring is row by row: no shuffle, memory of a batch.
+Fitting uses at most SAMPLE_POSITIVE + SAMPLE_NEGATIVE labelled rows (by hash of the id; whole texts), weighs every
+term of theirs that reaches MIN_SUPPORT, MIN_LIFT and MIN_RATIO, and keeps at most MAX_TERMS terms. Scoring is row by row: no shuffle, memory of a batch.
 
 Null and empty text score as text without hits; without labelled rows every score is 0; equal rows give equal
 results; an empty table gives no rows; documents with several labels count as toxic if one label says so.
@@ -31,7 +31,7 @@ from grainmill.llm._common import WORKER_STATE, table
 from grainmill.llm._text import by_size, code_points
 
 SAMPLE_POSITIVE, SAMPLE_NEGATIVE = 1500, 4500
-MAX_TERMS, MAX_SHORT, MIN_SUPPORT = 96, 600, 3
+MAX_TERMS, MIN_SUPPORT = 96, 3
 MIN_RATIO, STRONG, MIN_LIFT = 13.0, 60.0, 30.0  # likelihood-ratio statistics of a term; rate among toxic over rate among others
 EDITS = [(0, 0), (5, 1), (9, 2)]  # from this length on, so many edits; stems are held one step shorter
 STEM = (3, 12)
@@ -237,12 +237,20 @@ def _ratio(p: np.ndarray, q: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
 
 
 def shortlist(rows: list[tuple[str, int, int]], n_pos: int, n_neg: int) -> list[str]:
-    """The MAX_SHORT strongest precise terms of (term, toxic documents, other documents); of equal ones whole words,
-    then the longest stem."""
+    """All strong precise terms of (term, toxic documents, other documents), strongest first; of equal ones whole words,
+    then the longest stem. A stem with the counts of a longer term that begins with it holds the same documents, and
+    only the first of such terms stays."""
     good = [(t, p, q) for t, p, q in rows if p >= MIN_SUPPORT and p * n_neg > MIN_LIFT * q * n_pos]
     ratio = _ratio(np.array([x[1] for x in good], float), np.array([x[2] for x in good], float), n_pos, n_neg) if good else []
     order = sorted((-round(float(r), 6), x[0].endswith("*"), -len(x[0]), x[0]) for r, x in zip(ratio, good, strict=True) if r >= MIN_RATIO)
-    return [x[3] for x in order[:MAX_SHORT]]
+    counts = {t: (p, q) for t, p, q in good}
+    kept, begins = [], set()
+    for *_, t in order:
+        body, own = t.rstrip("*"), counts[t]
+        if not t.endswith("*") or (body, own) not in begins:
+            kept.append(t)
+            begins.update((body[:k], own) for k in range(STEM[0], len(body) + 1))
+    return kept
 
 
 def choose(terms: list[str], toxic: np.ndarray, other: np.ndarray) -> list[tuple[str, float]]:
@@ -300,7 +308,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
         n_pos, n_neg = n.get(1, 0), n.get(0, 0)
         terms = sample.mapInArrow(_candidates, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
         lift = (F.col("pos") / max(n_pos, 1)) / ((F.col("neg") + 0.5) / max(n_neg, 1))
-        best = terms.where((F.col("pos") >= MIN_SUPPORT) & (lift > 4)).orderBy(F.desc("pos"), "neg", "term").limit(20_000)
+        precise = F.col("pos") * n_neg > F.col("neg") * (MIN_LIFT * n_pos)
+        best = terms.where((F.col("pos") >= MIN_SUPPORT) & (lift > 4) & precise)  # bounded by the sample's words
         rows = [tuple(r) for r in best.collect()]
         short = shortlist(rows, n_pos, n_neg)
         place = {t: k for k, t in enumerate(short)}
@@ -316,7 +325,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
                     found.append(sorted(terms_))
                 yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["toxic", "terms"])
 
-        held = sample.mapInArrow(holds, "toxic int, terms array<int>").collect()  # the sample's rows, MAX_SHORT places each
+        held = sample.mapInArrow(holds, "toxic int, terms array<int>").collect()  # the sample's rows, their shortlisted terms each
         sides = []
         for side in (1, 0):
             own = [r["terms"] for r in held if r["toxic"] == side]

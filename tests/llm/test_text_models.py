@@ -132,6 +132,14 @@ def test_context_separates_quotation_from_abuse():
     assert value("you mor0n") > 0 and value("you mooron") > 0 and value("the maroons") == 0
 
 
+def test_shortlist_holds_every_strong_word_once():
+    rows = [("stupid", 9, 0), ("stupid*", 9, 0), ("stup*", 9, 0), ("stu*", 9, 0), ("st*", 9, 1), ("mor*", 9, 0), ("moron*", 9, 0)]
+    assert toxicity.shortlist(rows, 100, 900) == ["stupid", "moron*", "st*"]
+    words = ["".join(p) for p in itertools.product("abcdefghij", repeat=3)]
+    many = [(w + s, 40, 0) for w in words for s in ("", "*")] + [("rare", 5, 0), ("rare*", 5, 0)]
+    assert toxicity.shortlist(many, 1500, 4500) == [*words, "rare"]
+
+
 @pytest.fixture(scope="module")
 def lexicon(spark):
     learn = lambda df: df.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
