@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORKER_STATE: dict = {}
 """Per-process caches of Python workers, keyed by operator; workers are reused between tasks."""
@@ -18,21 +23,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where that setting is missing, as in tests on one machine, a folder of our own is set.
+    Where that setting is missing, a folder of our own is set, but only in local mode, as in tests: on a cluster
+    executors could not read what the driver's machine holds, and a RuntimeError says so.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = WORKER_STATE.get("own_checkpoint_dir")
         if not base:
             base = WORKER_STATE["own_checkpoint_dir"] = tempfile.mkdtemp(prefix="grainmill-")
+            atexit.register(shutil.rmtree, base, ignore_errors=True)
             spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, scratch: list[str] | None = None) -> DataFrame:
     """The frame, written to the shared folder and read back: lineage ends here, lost executors cost nothing,
-    and the planner knows its size."""
+    and the planner knows its size. The files go at the driver's end, or with discard() of the list `scratch`, to
+    which their path is added."""
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
+    _files(spark, path, lambda fs, at: fs.deleteOnExit(at))
+    if scratch is not None:
+        scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, scratch: list[str]) -> None:
+    """Deletes what stored() wrote for frames that nothing reads any more."""
+    while scratch:
+        _files(spark, scratch.pop(), lambda fs, at: fs.delete(at, True))
+
+
+def _files(spark: SparkSession, path: str, use) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    use(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at)
+
+
+def small(df: DataFrame, limit: int) -> bool:
+    """Whether the frame's values take at most `limit` bytes, which is counted: eight for a number, a string's length."""
+    each = [F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) if isinstance(f.dataType, T.StringType | T.BinaryType) else F.lit(8) if not isinstance(f.dataType, T.ArrayType | T.StructType | T.MapType) else F.octet_length(F.to_json(f"`{f.name}`")) for f in df.schema]
+    total = sum(each, F.lit(0)).cast("long")
+    return (df.agg(F.sum(total).alias("n")).first()["n"] or 0) <= limit

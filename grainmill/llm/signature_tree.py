@@ -1,10 +1,14 @@
 """Signature trees: nodes hold the OR of their members' token bitmaps, the range of their sizes and the largest
 number of tokens that share a bit; dual traversal prunes pairs of nodes by the largest overlap they allow.
 
-A bitmap has a power of two of at least 4 bits per token (a token's bit is its hash modulo the width), so a wider
+A bitmap has a power of two of at least 2 bits per token (a token's bit is its hash modulo the width), so a wider
 one folds to a narrower one. Shared tokens share bits, hence for sets a and b, and for nodes above them,
 overlap <= shared bits + min(tokens beyond one per bit); a link needs 9 * overlap >= 4 * (size a + size b),
 which is a Jaccard similarity of 0.8.
+
+Members are ordered by size class and then by content, so that near copies share a leaf and its bitmap stays sparse.
+Only what the links connect is wanted: the traversal starts within nodes, and a pair of nodes whose members are all
+connected already is not entered, so that a large group of near copies costs little more than its leaves.
 """
 
 from __future__ import annotations
@@ -16,10 +20,11 @@ import numpy as np
 
 LEAF, FANOUT = 32, 4
 MIN_BITS, MAX_BITS = 256, 1 << 20
+STEP = 8  # size classes of the members' order, per factor of 1.25
 
 
 def bits_for(size: int) -> int:
-    return min(MAX_BITS, max(MIN_BITS, 1 << (4 * max(size, 1) - 1).bit_length()))
+    return min(MAX_BITS, max(MIN_BITS, 1 << (2 * max(size, 1) - 1).bit_length()))
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
@@ -45,13 +50,27 @@ class Node:
     most: int
     excess: int
     below: list["Node"]
+    one: int = -1  # a member, once all are known to be connected
+
+    def connected(self, who: np.ndarray, links: "Union") -> bool:
+        if self.one < 0:
+            if self.below:
+                if not all(n.connected(who, links) for n in self.below):
+                    return False
+                each = [n.one for n in self.below]
+            else:
+                each = who[self.first : self.last].tolist()
+            if len({links.find(k) for k in each}) > 1:
+                return False
+            self.one = each[0]
+        return True
 
 
 class Tree:
     """Over members sorted by size; `maps` has one row each, `who` their places outside."""
 
     def __init__(self, maps: np.ndarray, sizes: np.ndarray, who: np.ndarray) -> None:
-        order = np.lexsort((maps[:, 0], sizes))
+        order = np.lexsort((maps[:, 0], np.floor(np.log(np.maximum(sizes, 1)) * (STEP / np.log(1.25)))))
         self.maps, self.sizes, self.who = maps[order], sizes[order], who[order]
         self.excess = self.sizes - np.bitwise_count(self.maps).sum(1, dtype=np.int64)
         level = [self._node(a, min(a + LEAF, len(order)), []) for a in range(0, len(order), LEAF)]
@@ -61,7 +80,7 @@ class Tree:
 
     def _node(self, a: int, b: int, below: list[Node]) -> Node:
         any_bits = np.bitwise_or.reduce([n.any_bits for n in below] if below else self.maps[a:b], axis=0)
-        return Node(a, b, any_bits, int(self.sizes[a]), int(self.sizes[b - 1]), int(self.excess[a:b].max()), below)
+        return Node(a, b, any_bits, int(self.sizes[a:b].min()), int(self.sizes[a:b].max()), int(self.excess[a:b].max()), below)
 
 
 def _possible(a: Node, b: Node) -> bool:
@@ -71,26 +90,30 @@ def _possible(a: Node, b: Node) -> bool:
     return 9 * shared >= 4 * (a.least + b.least)
 
 
-def dual(s: Tree, t: Tree) -> Iterator[tuple[int, int]]:
-    """Pairs of members, as places outside, that the bounds allow; with s is t each pair once."""
+def dual(s: Tree, t: Tree, links: "Union | None" = None) -> Iterator[tuple[int, int]]:
+    """Pairs of members, as places outside, that the bounds allow; with s is t each pair once. Pairs that `links`,
+    which the caller extends meanwhile, already connects may be left out."""
     todo = [(s.root, t.root)]
     while todo:
         a, b = todo.pop()
         if not _possible(a, b):
             continue
+        if links and a.connected(s.who, links) and b.connected(t.who, links) and links.find(a.one) == links.find(b.one):
+            continue
         if a.below and (not b.below or a.last - a.first >= b.last - b.first):
             if a is b:
-                todo += [(x, y) for k, x in enumerate(a.below) for y in a.below[k:]]
+                todo += [(x, y) for k, x in enumerate(a.below) for y in a.below[k + 1 :]]
+                todo += [(x, x) for x in a.below]  # taken first
             else:
                 todo += [(x, b) for x in a.below]
         elif b.below:
             todo += [(a, y) for y in b.below]
         else:
             m, n = s.sizes[a.first : a.last, None], t.sizes[None, b.first : b.last]
-            shared = np.empty((a.last - a.first, b.last - b.first), np.int64)
-            right = t.maps[b.first : b.last]
-            for k in range(a.last - a.first):
-                shared[k] = np.bitwise_count(right & s.maps[a.first + k]).sum(1)
+            right, left = t.maps[b.first : b.last], s.maps[a.first : a.last]
+            shared = np.empty((len(left), len(right)), np.int64)
+            for k in range(len(left)):
+                shared[k] = np.bitwise_count(right & left[k]).sum(1)
             shared += np.minimum(s.excess[a.first : a.last, None], t.excess[None, b.first : b.last])
             ok = (9 * shared >= 4 * (m + n)) & (5 * m >= 4 * n) & (5 * n >= 4 * m)
             if a is b:
@@ -99,8 +122,10 @@ def dual(s: Tree, t: Tree) -> Iterator[tuple[int, int]]:
                 yield int(s.who[a.first + x]), int(t.who[b.first + y])
 
 
-def candidates(maps: list[np.ndarray], sides: list[int], sizes: list[int]) -> Iterator[tuple[int, int]]:
-    """Pairs of members that may link. sides: 0 or 1; pairs within one side if all are on side 0, else across."""
+def candidates(maps: list[np.ndarray], sides: list[int], sizes: list[int], links: "Union | None" = None) -> Iterator[tuple[int, int]]:
+    """Pairs of members that may link. sides: 0 or 1; pairs within one side if all are on side 0, else across. Members
+    of one bitmap width are a tree; it meets itself and, folded, the tree of the next narrower width, since the
+    sizes of linked sets are less than a factor of two apart."""
     classes: dict[tuple[int, int], list[int]] = {}
     for k, m in enumerate(maps):
         classes.setdefault((len(m), sides[k]), []).append(k)
@@ -125,7 +150,7 @@ def candidates(maps: list[np.ndarray], sides: list[int], sizes: list[int]) -> It
         for p, q in pairs:
             s, t = tree(*p), tree(*q)
             if s and t:
-                yield from dual(s, t)
+                yield from dual(s, t, links)
         for key in [k for k in trees if k[0] == width and k[2]]:
             del trees[key]
 

@@ -70,11 +70,9 @@ def joined(df):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_ngram_join_against_brute_force(spark, seed, monkeypatch):
-    if seed == 2:  # blocks and frequent shingles even in small units
-        monkeypatch.setattr(ngram_join, "UNIT", 3)
-        monkeypatch.setattr(ngram_join, "LARGE_UNIT", 5)
-        monkeypatch.setattr(ngram_join, "HEAVY", 4)
-        monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 0)
+    if seed == 2:  # blocks and hot keys even in small units
+        for name, value in [("BLOCK_BYTES", 900), ("SET_BYTES", 5000), ("HOT_IN_CHUNK", 2), ("HOT_ROWS", 3), ("CHUNK", 500), ("BROADCAST_BYTES", -1)]:
+            monkeypatch.setattr(ngram_join, name, value)
     rows = corpus(seed)
     assert joined(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
@@ -127,7 +125,7 @@ def groups_of_rows(rows):
 @pytest.mark.parametrize("ids", ["few", "many"])
 def test_keep_one_of_each_group_where_ids_repeat(spark, monkeypatch, ids):
     if ids == "many":
-        monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 0)
+        monkeypatch.setattr(ngram_join, "BROADCAST_BYTES", -1)
     a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
     rows = [(5, a), (5, b), (9, b + " end"), (9, a + " end"), (3, b + " x y z"), (5, "c d e f g h"), (7, ""), (7, None)]
     r = random.Random(6)
