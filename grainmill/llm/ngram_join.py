@@ -5,7 +5,7 @@
 2. Rows (key, set) are sorted by key; the sets that share one form part of the unit of its least set. Keys that very
    many sets hold (HOT_SHARE) are found beforehand; their rows bypass the sort with the key's unit beside them, so no
    key gathers an unbounded number of rows.
-3. Units are dealt to blocks of at most BLOCK_BYTES of bitmaps. Small units fill a block together; a larger one is
+3. Units are dealt to blocks of at most BLOCK_BYTES of bitmaps, and no more than a task's mean share. Small units fill a block together; a larger one is
    cut by size classes, and two blocks of it meet only if their ranges of sizes allow a link.
 4. Each block is one signature tree (see signature_tree): nodes hold OR-combined bitmaps and size ranges, and dual
    traversal prunes pairs of nodes, across units as well, by the largest overlap they allow. What remains possible
@@ -41,7 +41,7 @@ from grainmill.llm.signature_tree import Union, bitmap, candidates
 HOT_SHARE, MAX_HOT = 64, 1 << 17  # a key is hot if one in HOT_SHARE of all rows, or HOT_ROWS, hold it
 HOT_ROWS, HOT_IN_CHUNK = 10_000, 16
 CHUNK = 2_000_000  # keys counted at once
-BLOCK_BYTES, SET_BYTES = 2 << 20, 24 << 20
+BLOCK_BYTES, SET_BYTES, LEAST_BYTES = 2 << 20, 24 << 20, 64 << 10
 BROADCAST_BYTES = 16 << 20
 CLASS_REACH = 3  # size classes that a link can span
 
@@ -182,10 +182,12 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def deal(members: DataFrame, weight, limit: int) -> DataFrame:
     """(unit, fp) -> (unit, i, j, block, fp): each pair of sets of a unit whose sizes allow a link meets in one (unit, i, j)
-    at least, which holds two blocks of about `limit` bytes at most; i = j = -1 where the whole unit is within it.
-    weight: bytes of a set of a size class. Blocks are runs of size classes; a class beyond the limit is cut by hash."""
+    at least, which holds two blocks of about `limit` bytes, or a task's mean share, at most; i = j = -1 where the whole
+    unit is within it. weight: bytes of a set of a size class. Blocks are runs of size classes; a class beyond the limit is cut by hash."""
     c = F.col("fp").bitwiseAND(255)
     counts = members.groupBy("unit", c.alias("c")).agg(F.count("*").alias("n")).withColumn("w", F.col("n") * weight(F.col("c")))
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    limit = min(limit, max(LEAST_BYTES, (members.agg(F.sum(weight(c))).first()[0] or 0) / tasks))
     whole, upto = Window.partitionBy("unit"), Window.partitionBy("unit").orderBy("c")  # 256 rows of a unit at most
     near = Window.partitionBy("unit").orderBy("c").rangeBetween(-CLASS_REACH, CLASS_REACH)
     cut = counts.withColumn("total", F.sum("w").over(whole)).where(F.col("total") > limit).withColumn("end", F.sum("w").over(upto))
