@@ -1,16 +1,17 @@
 """Operator 3: approximate nearest neighbours by a navigable small-world graph per shard.
 
-Vectors go to shards of about SHARD_ROWS rows by a hash of their id, so copies and clusters spread evenly. Each
-shard builds a hierarchical navigable small-world graph over its distinct vectors and stores it as flat arrays: one
-neighbour array per level, vectors as one matrix, ids as offsets into one list. A vector's copies keep their
-smallest ids only, as many as a result can name, since ties go to the smaller id; so copies never fill a
-neighbourhood. Query blocks of QUERY_ROWS are joined with the shards by shard number (a stated query set against all
-rows), searched, measured exactly in double precision on the original vectors, and merged by a per-query top-k.
+Vectors go to shards of at most SHARD_ROWS rows and SHARD_BYTES by a hash of their id (see _shards). Each shard builds a
+hierarchical navigable small-world graph over its distinct vectors and stores it as flat arrays: one neighbour array
+per level, vectors as one matrix, ids as offsets into one list. Levels are built from the top: a new node descends
+through the finished levels above and searches on from where it arrives. A vector's copies keep their smallest ids
+only, as many as a result can name, since ties go to the smaller id; so copies never fill a neighbourhood. Blocks of
+queries follow the shard's index in its task's stream, are searched, measured exactly in double precision on the
+original vectors, and merged by a per-query top-k.
 
 The graph is walked for a whole block of queries at once: each step expands one node of every query's beam.
 
-Defined cases: rows whose vector is null, zero, of another length than the most common one, or has null or
-non-finite components take no part, as query or candidate; null ids take no part; equal rows are candidates each;
+Defined cases: rows whose vector is null, empty, zero, or has null or non-finite components take no part, as query or
+candidate; a query's candidates are the vectors of its length; null ids take no part; equal rows are candidates each;
 fewer candidates than k give all; an empty table gives no rows; other columns are not read.
 """
 
@@ -20,32 +21,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainmill.llm._common import stored, table
+from grainmill.llm._shards import INDEX, by_key, in_shards, layout, meet, packed, top_k, usable
 
-SHARD_ROWS, QUERY_ROWS = 4096, 512
-M, EF_BUILD, EF_SEARCH = 16, 64, 128
-
-
-def usable(df: DataFrame, id_col: str, vector: str, zero: bool = False) -> DataFrame:
-    """(id, vector as doubles) of the rows that take part; zero: whether zero vectors do."""
-    x = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & (F.size("v") > 0))
-    fine = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    x = x.where(fine if zero else fine & F.exists("v", lambda c: c != 0))
-    sizes = x.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return x.where(F.size("v") == (sizes[0]["n"] if sizes else 0))
-
-
-def stacked(batch: pa.RecordBatch, column: int) -> np.ndarray:
-    values = batch.column(column)
-    flat = values.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(values), -1) if len(values) else flat.reshape(0, 0)
+SHARD_ROWS, SHARD_BYTES = 8192, 64 << 20
+M, EF_BUILD, EF_SEARCH = 16, 64, 160
 
 
 class Graph:
-    """Flat arrays of one shard. Level l has nodes[l] (places, ascending) and near[l] (their neighbours, -1 for none)."""
+    """Flat arrays of one shard. Level l has levels[l] (places, ascending) and near[l] (their neighbours as offsets into
+    levels[l], -1 for none)."""
 
     def __init__(self, x: np.ndarray, seed: int = 7) -> None:
         self.x = x.astype(np.float32)
@@ -54,23 +42,30 @@ class Graph:
         rng = np.random.default_rng(seed)
         top = np.minimum((-np.log(rng.random(n)) / np.log(M)).astype(int), 6)
         self.levels = [np.flatnonzero(top >= level) for level in range(int(top.max()) + 1)] if n else []
-        self.near: list[np.ndarray] = []
-        for nodes in self.levels:
-            self.near.append(self._link(nodes, 2 * M))
+        self.near: list[np.ndarray] = [np.zeros((0, 0), np.int32)] * len(self.levels)
+        for level in range(len(self.levels) - 1, -1, -1):
+            self.near[level] = self._link(level, 2 * M)
 
     def _distances(self, q: np.ndarray, places: np.ndarray) -> np.ndarray:
         """Squared, of each query to its own row of places."""
         return self.norm[places] - 2 * np.einsum("qd,qkd->qk", q, self.x[places]) + (q**2).sum(1)[:, None]
 
-    def _link(self, nodes: np.ndarray, width: int) -> np.ndarray:
-        """Neighbour lists of one level. Nodes are inserted in rounds that double the graph: each round's nodes search
-        the graph built so far, and their mutual distances within the round are known from one matrix product."""
-        n = len(nodes)
+    def _link(self, level: int, width: int) -> np.ndarray:
+        """Neighbour lists of one level, those above being finished. The nodes of the level above come first. Nodes are
+        inserted in rounds that grow the graph by a quarter: each round's nodes search the graph built so far, and their
+        mutual distances within the round are known from one matrix product."""
+        nodes = self.levels[level]
+        upper = self.levels[level + 1] if level + 1 < len(self.levels) else nodes[:0]
+        above = np.isin(nodes, upper)
+        order = np.concatenate([np.flatnonzero(above), np.flatnonzero(~above)])
+        n, held = len(nodes), int(above.sum())
         near = np.full((n, width), -1, np.int32)
-        x, norm = self.x[nodes], self.norm[nodes]
+        x, norm = self.x[nodes[order]], self.norm[nodes[order]]
         done = 0
         while done < n:
             step = min(n - done, max(64, done // 4))
+            if done < held:
+                step = min(step, held - done)
             new = np.arange(done, done + step)
             own = norm[new][:, None] + norm[new][None] - 2 * x[new] @ x[new].T
             np.fill_diagonal(own, np.inf)
@@ -78,10 +73,12 @@ class Graph:
             part = np.argpartition(own, k - 1, axis=1)[:, :k]
             found, dist = new[part], np.take_along_axis(own, part, 1)
             if done:
-                f, d = self._walk(x[new], np.zeros((step, 1), np.int64), near, x, norm, EF_BUILD)
+                # the nodes above are this level's first, in the same order
+                entry = self._descend(x[new], level + 1) if done >= held > 0 else np.zeros((step, 1), np.int64)
+                f, d = self._walk(x[new], entry, near, x, norm, EF_BUILD)
                 found, dist = np.concatenate([found, f], 1), np.concatenate([dist, d], 1)
-            order = np.argsort(dist, axis=1, kind="stable")
-            found, dist = np.take_along_axis(found, order, 1), np.take_along_axis(dist, order, 1)
+            by = np.argsort(dist, axis=1, kind="stable")
+            found, dist = np.take_along_axis(found, by, 1), np.take_along_axis(dist, by, 1)
             for row, i in enumerate(new):
                 ok = np.isfinite(dist[row]) & (found[row] >= 0)
                 self._connect(i, found[row][ok], dist[row][ok], near, x, M)
@@ -89,7 +86,20 @@ class Graph:
             for i in new:  # back links, pruned by the same rule when a list is full
                 for j in near[i][near[i] >= 0]:
                     self._back(int(j), int(i), near, x)
-        return near
+        out = np.empty_like(near)
+        out[order] = np.where(near >= 0, order[near], -1)
+        return out
+
+    def _descend(self, q: np.ndarray, level: int) -> np.ndarray:
+        """The nearest node that a narrow walk from the top finds in a level, as an offset into it."""
+        entry = np.zeros((len(q), 1), np.int64)
+        for at in range(len(self.levels) - 1, level - 1, -1):
+            nodes = self.levels[at]
+            place, _ = self._walk(q, entry, self.near[at], self.x[nodes], self.norm[nodes], 4)
+            entry = place[:, :1]
+            if at > level:
+                entry = np.searchsorted(self.levels[at - 1], nodes[entry])
+        return entry
 
     @staticmethod
     def _diverse(found: np.ndarray, dist: np.ndarray, x: np.ndarray, keep: int) -> np.ndarray:
@@ -173,18 +183,15 @@ class Graph:
         """Places of near vectors of each query, -1 for none."""
         q = q.astype(np.float32)
         entry = np.zeros((len(q), 1), np.int64)
-        for level in range(len(self.levels) - 1, -1, -1):
-            nodes = self.levels[level]
-            place, _ = self._walk(q, entry, self.near[level], self.x[nodes], self.norm[nodes], ef if level == 0 else 4)
-            if level:
-                entry = np.searchsorted(self.levels[level - 1], nodes[place[:, :1]])
-        return place
+        if len(self.levels) > 1:
+            entry = np.searchsorted(self.levels[0], self.levels[1][self._descend(q, 1)])
+        return self._walk(q, entry, self.near[0], self.x, self.norm, ef)[0]
 
 
 def _build(batches: Iterator[pa.RecordBatch], keep: int) -> Iterator[pa.RecordBatch]:
-    """One row per shard from (shard, id, v) sorted by shard."""
-
-    def made(shard: int, ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+    """(shard, arrays) from (shard, id, v) sorted by shard. arrays: distinct vectors, ids, where each vector's ids start,
+    and for each level its nodes and their neighbours."""
+    for shard, ids, x in by_key(batches):
         order = np.argsort(ids, kind="stable")
         ids, x = ids[order], x[order]
         plain = x + 0.0  # -0.0 and 0.0 are one
@@ -193,58 +200,39 @@ def _build(batches: Iterator[pa.RecordBatch], keep: int) -> Iterator[pa.RecordBa
         rank = np.arange(len(by)) - np.searchsorted(owner[by], owner[by])
         by = by[rank < keep]
         starts = np.searchsorted(owner[by], np.arange(len(first) + 1))
-        distinct = x[first]
-        g = Graph(distinct)
-        cols = [[shard], [distinct.shape[1]], [distinct.tobytes()], [ids[by].astype(np.int64).tobytes()], [starts.astype(np.int64).tobytes()]]
-        cols += [[[a.astype(np.int64).tobytes() for a in g.levels]], [[a.astype(np.int32).tobytes() for a in g.near]]]
-        types = [pa.int64(), pa.int32(), *[pa.binary()] * 3, *[pa.list_(pa.binary())] * 2]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["shard", "dim", "vectors", "ids", "starts", "levels", "near"])
-
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    current = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        shard, ids, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), stacked(batch, 2)
-        for s in np.unique(shard).tolist():  # sorted
-            if s != current and held:
-                yield made(current, np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
-                held = []
-            current = s
-            held.append((ids[shard == s], x[shard == s]))
-    if held:
-        yield made(current, np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
-
-
-INDEX = "shard long, dim int, vectors binary, ids binary, starts binary, levels array<binary>, near array<binary>"
-
-
-def build_index(vectors: DataFrame, k: int, shards: int) -> DataFrame:
-    """vectors: (id, v). One row per shard, written to the shared folder."""
-    dealt = vectors.select(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), "id", "v").repartition(shards, "shard").sortWithinPartitions("shard")
-    return stored(dealt.mapInArrow(lambda b: _build(b, k + 1), INDEX))
-
-
-def load(row: dict) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
+        g = Graph(x[first])
+        arrays = packed(x[first], ids[by].astype(np.int64), starts.astype(np.int64))
+        for nodes, near in zip(g.levels, g.near, strict=True):
+            arrays += packed(nodes.astype(np.int64), near.astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([arrays], pa.list_(pa.binary()))], ["shard", "arrays"])
+
+
+def load(arrays: list[bytes]) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
     """Graph, vectors in double precision, ids, and where each vector's ids start."""
-    x = np.frombuffer(row["vectors"], np.float64).reshape(-1, row["dim"])
+    ids, starts = (np.frombuffer(a, np.int64) for a in arrays[1:3])
+    x = np.frombuffer(arrays[0], np.float64).reshape(len(starts) - 1, -1)
     g = Graph.__new__(Graph)
     g.x = x.astype(np.float32)
     g.norm = (g.x**2).sum(1)
-    g.levels = [np.frombuffer(a, np.int64) for a in row["levels"]]
-    g.near = [np.frombuffer(a, np.int32).reshape(len(n), -1) for a, n in zip(row["near"], g.levels, strict=True)]
-    return g, x, np.frombuffer(row["ids"], np.int64), np.frombuffer(row["starts"], np.int64)
-
-
-def _search(batches: Iterator[pa.RecordBatch], k: int, ef: int) -> Iterator[pa.RecordBatch]:
-    """From (query ids, query vectors, *index row): k best of each query in the shard."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            graph, x, ids, starts = load(row)
-            qid = np.frombuffer(row["query_ids"], np.int64)
-            q = np.frombuffer(row["query_vectors"], np.float64).reshape(len(qid), -1)
-            place = graph.search(q, ef)
-            out_q, out_v, out_s = [], [], []
+    g.levels = [np.frombuffer(a, np.int64) for a in arrays[3::2]]
+    g.near = [np.frombuffer(a, np.int32).reshape(len(n), -1) for a, n in zip(arrays[4::2], g.levels, strict=True)]
+    return g, x, ids, starts
+
+
+class Search:
+    """arrays of a shard's index -> function of (query ids, query vectors): the k best of each query in the shard."""
+
+    score = "double"
+
+    def __init__(self, k: int, ef: int) -> None:
+        self.k, self.ef = k, ef
+
+    def __call__(self, arrays: list[bytes]):
+        graph, x, ids, starts = load(arrays)
+
+        def run(qid: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            place = graph.search(q, self.ef)
+            out = []
             for j in range(len(qid)):
                 p = place[j][place[j] >= 0]
                 score = np.sqrt(((x[p] - q[j]) ** 2).sum(1))
@@ -253,52 +241,18 @@ def _search(batches: Iterator[pa.RecordBatch], k: int, ef: int) -> Iterator[pa.R
                 v, s = ids[which.astype(np.int64)], np.repeat(score, n)
                 ok = v != qid[j]
                 v, s = v[ok], s[ok]
-                best = np.lexsort((v, s))[:k]
-                out_q.append(np.full(len(best), qid[j]))
-                out_v.append(v[best])
-                out_s.append(s[best])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (out_q, out_v, out_s)], ["query_id", "vec_id", "score"])
-
-
-def query_blocks(queries: DataFrame, rows: int, count: int, shards: int) -> DataFrame:
-    """(shard, query_ids, query_vectors): blocks of about `rows` queries, each for every shard."""
-    n = max(1, -(-count // rows))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for batch in batches:
-            if batch.num_rows:
-                block, ids, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), stacked(batch, 2)
-                for b in np.unique(block).tolist():
-                    held.setdefault(b, []).append((ids[block == b], x[block == b]))
-        for parts in held.values():
-            ids, x = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            yield pa.RecordBatch.from_arrays([pa.array([ids.astype(np.int64).tobytes()]), pa.array([x.astype(np.float64).tobytes()])], ["query_ids", "query_vectors"])
-
-    dealt = queries.select(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n)).alias("block"), "id", "v").repartition(n, "block")
-    blocks = dealt.mapInArrow(pack, "query_ids binary, query_vectors binary")
-    return blocks.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-
-
-def meet(blocks: DataFrame, index: DataFrame, shards: int) -> DataFrame:
-    """Query blocks beside the shard they are for. Both sides are dealt by shard first: a shard's index moves once,
-    and a task repeats it for its query blocks only while it streams them."""
-    return blocks.repartition(shards, "shard").join(index.repartition(shards, "shard"), "shard")
-
+                best = np.lexsort((v, s))[: self.k]
+                out.append((np.full(len(best), qid[j]), v[best], s[best]))
+            return tuple(np.concatenate([o[c] for o in out]) for c in range(3))
 
-def top_k(found: DataFrame, k: int, best_first) -> DataFrame:
-    """Merges shard results; Spark cuts each partition's groups to k before the shuffle."""
-    w = Window.partitionBy("query_id").orderBy(best_first, "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        return run
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int, ef: int = EF_SEARCH) -> DataFrame:
     """vectors, queries: (id, v). query_id, rank, vec_id, score: k nearest each, without the query's own id."""
-    n, m = vectors.count(), queries.count()
-    shards = max(1, -(-n // SHARD_ROWS))
-    index = build_index(vectors, k, shards)
-    work = meet(query_blocks(queries, QUERY_ROWS, m, shards), index, shards)
-    return top_k(work.mapInArrow(lambda b: _search(b, k, ef), "query_id long, vec_id long, score double"), k, F.col("score"))
+    at = layout(vectors, queries, SHARD_ROWS, SHARD_BYTES)
+    index = stored(in_shards(vectors, at).mapInArrow(lambda b: _build(b, k + 1), INDEX))
+    return top_k(meet(index, queries, at, Search(k, ef)), k, F.col("score"))
 
 
 def op3_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:

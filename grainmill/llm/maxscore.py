@@ -1,19 +1,24 @@
 """Operator 6: exact top-k by inner product of integer vectors with MaxScore.
 
-A term is a dimension; its postings are the shard's impacts in it, and its bound for a query is the largest product
-they allow. A block of queries goes through a shard together. Terms are ordered by their bounds over the block.
-After the first terms some candidates of each query are scored fully, which gives its threshold. Terms are essential
-as long as the bounds of those that remain could lift many candidates over the threshold: their postings are
-traversed into accumulators for all queries at once. The other terms are probed, a few at a time, only for
-candidates that are still competitive, and what remains has its exact score. Shards hold SHARD_ROWS rows by a hash
-of the id; query blocks meet every shard by an equi-join on the shard's number (a stated query set against all
-rows), and a per-query top-k merges the shards' results.
-
-Scores are sums of whole numbers: doubles while they are below 2**53, which is checked per block, else 64-bit.
-
-Defined cases: rows whose vector is null, of another length than the most common one, or has null or non-finite
-components take no part; zero vectors do; null ids take no part; equal rows are candidates each; fewer candidates
-than k give all; an empty table gives no rows; other columns are not read.
+A term is a dimension; its postings are the places and impacts of the shard's rows that are not 0 there; a list that
+holds most rows is stored as one impact for each row. What a term
+can add to a query's score lies between a least and a largest product; a query's terms are ordered by that range.
+
+For each query a threshold, its k-th best score so far, splits them: the essential terms are the shortest beginning of
+that order for which a row with the least products there, and the largest ones in all others, stays below the
+threshold. Essential postings are traversed into accumulators. The other terms are probed in order, for the rows that
+are still competitive, which is to say whose sum and the largest products of the terms that remain reach the
+threshold. The threshold is raised along the way by scoring the rows that lead.
+
+Rows are in shards (see _shards); a per-query top-k merges the shards' results, ties to the smaller id.
+
+Scores are whole numbers: 32-bit while every possible sum is below 2**31, which is checked for each shard and block of
+queries, else 64-bit; sums that could reach 2**63 raise an OverflowError.
+
+Defined cases: rows whose vector is null, empty, or has null or non-finite components take no part; zero vectors do;
+a query's candidates are the vectors of its length; null ids take no part; equal rows are candidates each, and a
+query's own id is never one; several rows of a query's id give the k best of all their results; fewer candidates than k
+give all; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,103 +31,147 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainmill.llm._common import stored, table
-from grainmill.llm.hnsw import meet, query_blocks, stacked, top_k, usable
+from grainmill.llm._shards import INDEX, by_key, in_shards, layout, meet, packed, top_k, usable
 
-SHARD_ROWS, QUERY_ROWS, SEEDS = 8192, 256, 64
-STEP = 8  # terms between checks of what is still competitive
-FEW = 1 / 24  # share of competitive candidates below which probing costs less than traversing
+SHARD_ROWS, SHARD_BYTES = 16_384, 64 << 20
+FIRST, STEP = 8, 4  # terms before the first threshold; terms between checks of what is still competitive
+DENSE = 8  # a list is probed by a pass over it where more than one row in DENSE is competitive
 
 
 class Postings:
-    """Of one shard: ids, impacts by dimension, and their least and largest value."""
-
-    def __init__(self, ids: np.ndarray, x: np.ndarray) -> None:
-        self.ids, self.by_dim = ids, np.ascontiguousarray(x.T)
-        self.least, self.most = self.by_dim.min(1), self.by_dim.max(1)
-
-    def top(self, qid: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, place, score) of the k best of each query without its own id, ties to the smaller id."""
-        n, dims = len(self.ids), q.shape[1]
-        large = int(max(abs(int(self.least.min())), abs(int(self.most.max())), 1)) * int(np.abs(q).max() if q.size else 1) * dims
-        kind = np.float64 if large < 1 << 53 else np.int64
-        bound = np.maximum(q * self.most, q * self.least)
-        order = np.argsort(-bound.sum(0), kind="stable")
-        q, bound, x = q[:, order].astype(kind), bound[:, order], self.by_dim[order].astype(kind)
-        rest = np.concatenate([np.cumsum(bound[:, ::-1], axis=1)[:, ::-1], np.zeros((len(q), 1), bound.dtype)], 1)  # from each term on
-        own = self.ids[None] == qid[:, None]
-        acc, used, threshold = np.zeros((len(q), n), kind), 0, None
-        live = ~own
-        while used < dims:  # essential terms
-            to = min(dims, used + STEP)
-            acc += q[:, used:to] @ x[used:to]
-            used = to
-            if threshold is None:
-                count = min(n, max(SEEDS, 2 * k))
-                seeds = np.argpartition(np.where(own, np.inf, -acc.astype(float)), count - 1, axis=1)[:, :count]
-                exact = np.stack([q[j] @ x[:, s] for j, s in enumerate(seeds)]).astype(float)
-                exact[np.take_along_axis(own, seeds, 1)] = -np.inf
-                threshold = -np.partition(-exact, k - 1, axis=1)[:, k - 1] if count >= k else np.full(len(q), -np.inf)
-            live = (acc >= (threshold - rest[:, used])[:, None]) & ~own
-            if np.count_nonzero(live) <= FEW * live.size:
-                break
-        j, p = np.nonzero(live)
-        score = acc[j, p]
-        while used < dims and len(j):  # probes
-            to = min(dims, used + STEP)
-            for d in range(used, to):
-                score = score + q[j, d] * x[d, p]
-            used = to
-            ok = score >= (threshold - rest[:, used])[j]
-            j, p, score = j[ok], p[ok], score[ok]
-        by = np.lexsort((self.ids[p], -score, j))
-        j, p, score = j[by], p[by], score[by]
-        best = np.arange(len(j)) - np.searchsorted(j, j) < k
-        return j[best], p[best], score[best].astype(np.int64)
+    """Of one shard. rows: the impacts by row; lists: (places or None for all, impacts) by dimension."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, kind: type = np.int64) -> None:
+        self.ids, self.rows = ids, np.ascontiguousarray(rows.astype(kind))
+        self.least, self.most = rows.min(0), rows.max(0)
+        self.lists = []
+        for column in np.ascontiguousarray(self.rows.T):
+            places = np.flatnonzero(column)
+            self.lists.append((None, column) if 2 * len(places) >= len(column) else (places, column[places]))
+        self.sparse = any(places is not None for places, _ in self.lists)
+        self.traversed = self.probed = 0  # postings
+
+    def _add(self, acc: np.ndarray, term: int, weight) -> int:
+        places, impacts = self.lists[term]
+        if places is None:
+            acc += impacts * weight
+        else:
+            acc[places] += impacts * weight
+        return len(impacts)
+
+    def _probe(self, term: int, rows: np.ndarray) -> np.ndarray:
+        places, impacts = self.lists[term]
+        if places is None:
+            return impacts[rows]
+        at = np.minimum(np.searchsorted(places, rows), max(len(places) - 1, 0))
+        return np.where(places[at] == rows, impacts[at], 0) if len(places) else np.zeros(len(rows), impacts.dtype)
+
+    def top(self, q: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, scores) of the k best rows for one query, without the places `own`."""
+        n, dims = self.rows.shape
+        k = min(k, n - len(own))
+        if k <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        a, b = q.astype(np.int64) * self.least, q.astype(np.int64) * self.most
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        order = np.argsort(low - high, kind="stable")
+        rest = np.append(np.cumsum(high[order][::-1])[::-1], 0)  # the most that terms from each on can add
+        least = np.append(0, np.cumsum(low[order]))  # the least that terms before each add
+        acc, q = np.zeros(n, self.rows.dtype), q.astype(self.rows.dtype)
+        best_place, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def lead(rows: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The k best of those scored before and of the rows that lead by their sums, scored now."""
+            m = 2 * k + len(own)
+            more = rows[np.argpartition(sums, len(sums) - m)[-m:]] if len(rows) > m else rows
+            more = np.setdiff1d(more, np.append(best_place, own))
+            places, scores = np.append(best_place, more), np.append(best, (self.rows[more] @ q).astype(np.int64))
+            self.probed += len(more) * dims
+            by = np.lexsort((self.ids[places], -scores))[:k]
+            return places[by], scores[by]
+
+        used, every = 0, np.arange(n)
+        while used < dims and (len(best) < k or least[used] + rest[used] >= best[-1]):  # essential terms
+            for t in order[used : used + STEP]:
+                self.traversed += self._add(acc, t, q[t])
+            used = min(dims, used + STEP)
+            if used >= min(FIRST, dims) and len(best) < k:
+                best_place, best = lead(every, acc)
+        best_place, best = lead(every, acc)
+        some = acc >= best[-1] - rest[used]
+        many = int(np.count_nonzero(some))
+        while used < dims and DENSE * many > n:  # probes of most rows
+            for t in order[used : used + STEP]:
+                self.probed += self._add(acc, t, q[t])
+            used = min(dims, used + STEP)
+            some = acc >= best[-1] - rest[used]
+            many = int(np.count_nonzero(some))
+        live = np.flatnonzero(some)
+        sums = acc[live]
+        if used < dims:
+            best_place, best = lead(live, sums)
+        while used < dims and len(live):  # probes of few
+            ok = sums >= best[-1] - rest[used]
+            live, sums = live[ok], sums[ok]
+            terms = order[used : used + STEP]
+            sums = sums + self.rows[live[:, None], terms[None]] @ q[terms] if not self.sparse else sums + sum(self._probe(t, live) * q[t] for t in terms)
+            self.probed += len(live) * len(terms)
+            used = min(dims, used + STEP)
+        live, sums = np.append(live, best_place), np.append(sums.astype(np.int64), best)
+        live, first = np.unique(live, return_index=True)
+        sums = sums[first]
+        ok = ~np.isin(live, own)
+        live, sums = live[ok], sums[ok]
+        by = np.lexsort((self.ids[live], -sums))[:k]
+        return live[by], sums[by]
+
+
+def kind_for(rows: np.ndarray, q: np.ndarray) -> type:
+    most = sum(max(abs(int(a)), abs(int(b))) * int(c) for a, b, c in zip(rows.min(0), rows.max(0), np.abs(q).max(0), strict=True)) if len(rows) and len(q) else 0
+    if most >= 1 << 63:
+        raise OverflowError("inner products of these vectors can exceed 64 bits")
+    return np.int32 if most < 1 << 31 else np.int64
+
+
+class Search:
+    """arrays of a shard's index -> function of (query ids, query vectors)."""
+
+    score = "long"
+
+    def __init__(self, k: int) -> None:
+        self.k = k
+
+    def __call__(self, arrays: list[bytes]):
+        ids = np.frombuffer(arrays[0], np.int64)
+        rows = np.frombuffer(arrays[1], np.int64).reshape(len(ids), -1)
+        made: dict[type, Postings] = {}
+
+        def run(qid: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            q = q.astype(np.int64)
+            kind = kind_for(rows, q)
+            if kind not in made:
+                made[kind] = Postings(ids, rows, kind)
+            shard, out = made[kind], []
+            for i, v in zip(qid, q, strict=True):
+                own = np.arange(np.searchsorted(ids, i), np.searchsorted(ids, i, "right"))
+                places, scores = shard.top(v, own, self.k)
+                out.append((np.full(len(places), i), ids[places], scores))
+            return tuple(np.concatenate([o[c] for o in out]).astype(np.int64) for c in range(3))
+
+        return run
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(shard, ids, vectors) from (shard, id, v) sorted by shard and id."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    current = None
-
-    def made() -> pa.RecordBatch:
-        ids, x = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-        return pa.RecordBatch.from_arrays([pa.array([current]), pa.array([ids.astype(np.int64).tobytes()]), pa.array([x.astype(np.int64).tobytes()])], ["shard", "ids", "vectors"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        shard, ids, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), stacked(batch, 2)
-        for s in np.unique(shard).tolist():
-            if s != current and held:
-                yield made()
-                held = []
-            current = s
-            held.append((ids[shard == s], x[shard == s]))
-    if held:
-        yield made()
-
-
-def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """From (query_ids, query_vectors, ids, vectors)."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            ids = np.frombuffer(row["ids"], np.int64)
-            shard = Postings(ids, np.frombuffer(row["vectors"], np.int64).reshape(len(ids), -1))
-            qid = np.frombuffer(row["query_ids"], np.int64)
-            q = np.frombuffer(row["query_vectors"], np.float64).reshape(len(qid), -1).astype(np.int64)
-            j, p, score = shard.top(qid, q, k)
-            yield pa.RecordBatch.from_arrays([pa.array(qid[j]), pa.array(ids[p]), pa.array(score)], ["query_id", "vec_id", "score"])
+    """(shard, arrays) from (shard, id, v) sorted by shard and id: ids and vectors."""
+    for shard, ids, x in by_key(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([packed(ids.astype(np.int64), x.astype(np.int64))], pa.list_(pa.binary()))], ["shard", "arrays"])
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """vectors, queries: (id, v) of whole numbers. query_id, rank, vec_id, score, best first."""
-    n, m = vectors.count(), queries.count()
-    shards = max(1, -(-n // SHARD_ROWS))
-    dealt = vectors.select(F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), "id", "v").repartition(shards, "shard").sortWithinPartitions("shard", "id")
-    index = stored(dealt.mapInArrow(_index, "shard long, ids binary, vectors binary"))
-    work = meet(query_blocks(queries, QUERY_ROWS, m, shards), index, shards)
-    return top_k(work.select("query_ids", "query_vectors", "ids", "vectors").mapInArrow(lambda b: _search(b, k), "query_id long, vec_id long, score long"), k, F.desc("score"))
+    at = layout(vectors, queries, SHARD_ROWS, SHARD_BYTES)
+    index = stored(in_shards(vectors, at).mapInArrow(_index, INDEX))
+    return top_k(meet(index, queries, at, Search(k)), k, F.desc("score"))
 
 
 def op6_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,10 +181,9 @@ def op6_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = """
-WITH ok AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-e AS (SELECT * FROM ok WHERE len(v) = (SELECT len(v) FROM ok GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)),
 s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
-  FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+  FROM e q JOIN e c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0)
 SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
 FROM s QUALIFY rank <= 20"""

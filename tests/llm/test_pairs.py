@@ -4,10 +4,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from grainmill.llm import hnsw, maxscore, ngram_join, registry, signature_tree
+from grainmill.llm import _shards, hnsw, maxscore, ngram_join, registry, signature_tree
 from grainmill.llm._shingles import shingle_sets
 from grainmill.llm.components import components
 from tests.compare import differences
@@ -71,7 +72,7 @@ def joined(df):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_ngram_join_against_brute_force(spark, seed, monkeypatch):
     if seed == 2:  # blocks and hot keys even in small units
-        for name, value in [("BLOCK_BYTES", 900), ("SET_BYTES", 5000), ("HOT_IN_CHUNK", 2), ("HOT_ROWS", 3), ("CHUNK", 500), ("BROADCAST_BYTES", -1)]:
+        for name, value in [("BLOCK_BYTES", 900), ("SET_BYTES", 5000), ("LEAST_BYTES", 500), ("HOT_IN_CHUNK", 2), ("HOT_ROWS", 3), ("CHUNK", 500), ("BROADCAST_BYTES", -1)]:
             monkeypatch.setattr(ngram_join, name, value)
     rows = corpus(seed)
     assert joined(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
@@ -188,8 +189,9 @@ def nearest(x, ids, q, qid, k):
     return [(int(ids[j]), float(d[j])) for j in order[:k]]
 
 
-def test_recall_over_tables(spark, sf_dir, monkeypatch):
-    monkeypatch.setattr(hnsw, "SHARD_ROWS", 200)
+@pytest.mark.parametrize("shard", [hnsw.SHARD_ROWS, 200])
+def test_recall_over_tables(spark, monkeypatch, shard):
+    monkeypatch.setattr(hnsw, "SHARD_ROWS", shard)  # 200: many shards to merge
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
     x, ids = np.array([v for _, v in rows]), np.array([i for i, _ in rows])
     got = {}
@@ -208,6 +210,21 @@ def test_recall_over_tables(spark, sf_dir, monkeypatch):
     assert hit / (10 * len(got)) >= 0.95
 
 
+def test_recall_of_full_shards(spark):
+    """Three shards near the production size, parameters as in production."""
+    rng = np.random.default_rng(9)
+    n = 20_500
+    assert 2 < n / hnsw.SHARD_ROWS
+    x = rng.normal(size=(60, 32))[rng.integers(0, 60, n)] + rng.normal(0, 0.5, size=(n, 32))
+    x[::5] = rng.normal(size=(len(x[::5]), 32))
+    df = vectors(spark, x)
+    got = {}
+    for r in hnsw.search(df, df.where("id % 100 = 0"), 10).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hit = sum(len(found & {v for v, _ in nearest(x, np.arange(n), x[q], q, 10)}) for q, found in got.items())
+    assert len(got) == 205 and hit / 2050 >= 0.9
+
+
 def test_copies_and_ties(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(150, 4))
@@ -226,12 +243,13 @@ BAD = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [None, 1.0]), (5, [float("nan"),
 def test_vector_cases(spark):
     rows = [(i, v, "x", 1.0) for i, v in [*BAD, (100, [1.0, 0.0]), (200, [0.0, 1.0]), (200, [0.0, 1.0]), (9, [1.0, 1.0])]]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string, score double")
-    use = hnsw.usable(df, "vec_id", "embedding")
-    assert Counter(r["id"] for r in use.collect()) == Counter([100, 200, 200, 9])
+    use = _shards.usable(df, "vec_id", "embedding")
+    assert Counter(r["id"] for r in use.collect()) == Counter([7, 100, 200, 200, 9])
+    assert not hnsw.search(use, use.where("id = 7"), 10).collect()  # nothing else has its length
     got = sorted(map(tuple, hnsw.search(use, use.where("id = 100"), 10).collect()))
     assert [(g[1], g[2]) for g in got] == [(1, 9), (2, 200), (3, 200)]
-    assert 3 in {r["id"] for r in hnsw.usable(df, "vec_id", "embedding", zero=True).collect()}
-    none = hnsw.usable(df.limit(0), "vec_id", "embedding")
+    assert 3 in {r["id"] for r in _shards.usable(df, "vec_id", "embedding", zero=True).collect()}
+    none = _shards.usable(df.limit(0), "vec_id", "embedding")
     assert hnsw.search(none, none, 10).count() == 0
     whole = use.withColumn("v", F.transform("v", lambda c: F.floor(c * 64.0).cast("double")))
     got = sorted(map(tuple, maxscore.search(whole, whole.where("id = 100"), 20).collect()))
@@ -239,31 +257,53 @@ def test_vector_cases(spark):
     assert maxscore.search(none, none, 20).count() == 0
 
 
-def test_maxscore_matches_sql(spark, sf_dir, monkeypatch):
-    monkeypatch.setattr(maxscore, "SHARD_ROWS", 150)
+@pytest.mark.parametrize("shard", [maxscore.SHARD_ROWS, 150])
+def test_maxscore_matches_sql(spark, sf_dir, monkeypatch, shard):
+    monkeypatch.setattr(maxscore, "SHARD_ROWS", shard)
     assert differences(maxscore.op6_maxscore(spark, sf_dir), maxscore.SQL, sf_dir) == ""
 
 
-def test_postings_against_brute_force():
+def ranked(x, ids, row, k=20):
+    s = x @ x[row]
+    return [j for j in np.lexsort((ids, -s)) if j != row][:k], s
+
+
+@pytest.mark.parametrize("kind", [np.int32, np.int64])
+def test_postings_against_brute_force(kind):
     rng = np.random.default_rng(5)
-    for n, dims, scale in [(1, 3, 5), (7, 4, 2), (400, 16, 40), (300, 8, 1)]:
+    for n, dims, scale, zeros in [(1, 3, 5, 0), (7, 4, 2, 0), (400, 16, 40, 0), (300, 8, 1, 0), (900, 40, 30, 0.9), (500, 64, 9, 0.3)]:
         x = np.floor(rng.normal(0, scale, (n, dims))).astype(np.int64)
+        x[rng.random((n, dims)) < zeros] = 0
         if n > 100:
             x[10:90] = x[10]
         ids = np.sort(rng.choice(10 * n, n, replace=False))
-        p = maxscore.Postings(ids, x)
-        some = np.arange(0, n, max(1, n // 40))
-        j, places, scores = p.top(ids[some], x[some], 20)
-        for at, row in enumerate(some):
-            s = x @ x[row]
-            want = [k for k in np.lexsort((ids, -s)) if k != row][:20]
-            assert places[j == at].tolist() == want and scores[j == at].tolist() == s[want].tolist()
+        p = maxscore.Postings(ids, x, kind)
+        for row in range(0, n, max(1, n // 40)):
+            places, scores = p.top(x[row], np.array([row]), 20)
+            want, s = ranked(x, ids, row)
+            assert places.tolist() == want and scores.tolist() == s[want].tolist()
+
+
+def test_maxscore_splits_terms_and_probes():
+    """On the table, as one shard with production settings, part of the terms is essential and postings are left unread."""
+    rows = sorted((r["vec_id"], r["embedding"]) for r in pq.read_table("/root/testdata/sf0.1/embeddings.parquet").to_pylist())
+    x, ids = np.floor(64 * np.array([v for _, v in rows])).astype(np.int64), np.array([i for i, _ in rows])
+    p = maxscore.Postings(ids, x, maxscore.kind_for(x, x))
+    queries = np.flatnonzero(ids % 20 == 0)
+    for q in queries:
+        places, _ = p.top(x[q], np.array([q]), 20)
+        assert places.tolist() == ranked(x, ids, q)[0]
+    whole = len(queries) * x.size
+    assert 0.1 * whole < p.traversed < 0.5 * whole and p.probed > 0.1 * whole and p.traversed + p.probed < 0.95 * whole
 
 
 def test_scores_beyond_doubles():
     x = np.array([[1 << 30, 1], [1 << 30, 2], [1 << 30, 3]], np.int64)
-    j, places, scores = maxscore.Postings(np.array([5, 6, 7]), x).top(np.array([5]), x[:1], 2)
+    places, scores = maxscore.Postings(np.array([5, 6, 7]), x).top(x[0], np.array([0]), 2)
     assert places.tolist() == [2, 1] and scores.tolist() == [(1 << 60) + 3, (1 << 60) + 2]
+    assert maxscore.kind_for(x, x) is np.int64 and maxscore.kind_for(x % 7, x % 7) is np.int32
+    with pytest.raises(OverflowError):
+        maxscore.kind_for(x << 2, x << 2)
 
 
 def test_every_operator_has_one_query():
