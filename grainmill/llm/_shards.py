@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from grainmill.llm._common import stored
 
 QUERY_ROWS, QUERIES_PER_INDEX = 512, 16_384
-INDEX = "shard long, arrays array<binary>"
+INDEX = "dim int, shard long, arrays array<binary>"
 
 
 def usable(df: DataFrame, id_col: str, vector: str, zero: bool = False) -> DataFrame:
@@ -29,42 +29,44 @@ def usable(df: DataFrame, id_col: str, vector: str, zero: bool = False) -> DataF
 
 
 def layout(vectors: DataFrame, queries: DataFrame, most_rows: int, most_bytes: int) -> DataFrame:
-    """A row for each length of vector that queries have: dim, first (shard), shards, blocks (of queries), parts."""
+    """A row for each length of vector that queries have: dim, first (shard), shards, blocks (of queries), parts (of a
+    shard's work), task (the first one)."""
     n = F.count(F.when(~F.col("query"), 1))
     both = vectors.select(F.size("v").alias("dim"), F.lit(False).alias("query")).unionAll(queries.select(F.size("v"), F.lit(True)))
     by_dim = both.groupBy("dim").agg(n.alias("n"), F.count(F.when(F.col("query"), 1)).alias("m")).where("n > 0 AND m > 0")
     rows = F.greatest(F.lit(1), F.least(F.lit(most_rows), F.floor(F.lit(most_bytes) / (F.col("dim") * 8 + 160))))
     by_dim = by_dim.withColumn("shards", F.ceil(F.col("n") / rows)).withColumn("blocks", F.ceil(F.col("m") / QUERY_ROWS)).withColumn("parts", F.ceil(F.col("m") / QUERIES_PER_INDEX))
     before = Window.orderBy("dim").rowsBetween(Window.unboundedPreceding, -1)  # one row for each length
-    return stored(by_dim.withColumn("first", F.coalesce(F.sum("shards").over(before), F.lit(0))))
+    return stored(by_dim.withColumns({"first": F.coalesce(F.sum("shards").over(before), F.lit(0)), "task": F.coalesce(F.sum(F.expr("shards * parts")).over(before), F.lit(0))}))
 
 
 def in_shards(vectors: DataFrame, at: DataFrame) -> DataFrame:
-    """(shard, id, v), a shard's rows in one task, in order of id."""
+    """(dim, shard, id, v), a shard's rows in a task of their own, in order of id."""
     dealt = vectors.join(F.broadcast(at), F.size("v") == F.col("dim"))  # a row for each length
-    dealt = dealt.select((F.col("first") + F.pmod(F.xxhash64("id"), F.col("shards"))).alias("shard"), "id", "v")
+    dealt = dealt.select("dim", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("shards"))).alias("shard"), "id", "v")
     shards = at.agg(F.sum("shards")).first()[0] or 1
-    return dealt.repartition(int(shards), "shard").sortWithinPartitions("shard", "id")
+    return dealt.repartitionById(int(shards), F.col("shard").cast("int")).sortWithinPartitions("shard", "id")
 
 
-def stacked(batch: pa.RecordBatch, column: int, rows: np.ndarray) -> np.ndarray:
+def stacked(vectors: pa.Array, rows: np.ndarray) -> np.ndarray:
     """Matrix of the given rows' vectors, which have one length."""
-    return batch.column(column).take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+    return vectors.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
 
 
 def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(key, ids, vectors) of rows (key, id, v) sorted by key."""
+    """(key, ids, vectors) of rows (..., key, id, v) sorted by key."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     current = None
     whole = lambda: (current, np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
     for batch in batches:
-        key, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        *_, key, ids, vectors = batch.columns
+        key, ids = key.to_numpy(), ids.to_numpy()
         for s in np.unique(key).tolist():
             if s != current and held:
                 yield whole()
                 held = []
             current, own = s, np.flatnonzero(key == s)
-            held.append((ids[own], stacked(batch, 2, own)))
+            held.append((ids[own], stacked(vectors, own)))
     if held:
         yield whole()
 
@@ -74,29 +76,28 @@ def packed(*arrays: np.ndarray) -> list[bytes]:
 
 
 def meet(index: DataFrame, queries: DataFrame, at: DataFrame, search: Callable) -> DataFrame:
-    """index: (shard, arrays). search(arrays, query ids, query vectors) -> (query_id, vec_id, score) arrays."""
+    """index: rows of INDEX. search(arrays) -> function of (query ids, query vectors) -> (query_id, vec_id, score) arrays."""
     q = queries.join(F.broadcast(at), F.size("v") == F.col("dim")).withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")))
-    q = q.select((F.col("dim").cast("long") * F.lit(1 << 40) + F.col("block")).alias("block"), "id", "v").repartition("block").sortWithinPartitions("block")
+    q = q.select("dim", (F.col("dim") * F.lit(1 << 40) + F.col("block")).alias("block"), "id", "v").repartition("block").sortWithinPartitions("block")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, ids, x in by_key(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([packed(ids.astype(np.int64), x.astype(np.float64))], pa.list_(pa.binary()))], ["block", "arrays"])
+            yield pa.RecordBatch.from_arrays([pa.array([x.shape[1]], pa.int32()), pa.array([block]), pa.array([packed(ids.astype(np.int64), x.astype(np.float64))], pa.list_(pa.binary()))], ["dim", "block", "arrays"])
 
-    blocks = q.mapInArrow(pack, "block long, arrays array<binary>")
-    blocks = blocks.join(F.broadcast(at), F.shiftright("block", 40) == F.col("dim"))
-    shard = F.explode(F.expr("sequence(first, first + shards - 1)")).alias("shard")
-    blocks = blocks.select(shard, F.expr("block % parts").alias("part"), F.lit(1).alias("kind"), "arrays")
-    parts = index.join(F.broadcast(at), F.expr("shard >= first AND shard < first + shards"))
-    parts = parts.select("shard", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"), F.lit(0).alias("kind"), "arrays")
-    tasks = at.agg(F.sum(F.col("shards") * F.col("parts"))).first()[0] or 1
-    work = parts.unionAll(blocks).repartition(int(tasks), "shard", "part").sortWithinPartitions("shard", "part", "kind")
+    blocks = q.mapInArrow(pack, "dim int, block long, arrays array<binary>").join(F.broadcast(at), "dim")
+    blocks = blocks.withColumns({"shard": F.explode(F.expr("sequence(first, first + shards - 1)")), "part": F.expr("block % parts"), "kind": F.lit(1)})
+    parts = index.join(F.broadcast(at), "dim").withColumns({"part": F.explode(F.expr("sequence(0L, parts - 1)")), "kind": F.lit(0)})
+    task = F.expr("task + (shard - first) * parts + part").cast("int").alias("task")
+    columns = [task, "kind", "arrays"]
+    tasks = at.agg(F.sum(F.expr("shards * parts"))).first()[0] or 1
+    work = parts.select(columns).unionAll(blocks.select(columns)).repartitionById(int(tasks), "task").sortWithinPartitions("task", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays = None
         for batch in batches:
             for k in range(batch.num_rows):
-                got = batch.column(3)[k].as_py()
-                if batch.column(2)[k].as_py() == 0:
+                got = batch.column(2)[k].as_py()
+                if batch.column(1)[k].as_py() == 0:
                     arrays = search(got)
                     continue
                 ids = np.frombuffer(got[0], np.int64)

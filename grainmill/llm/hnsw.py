@@ -189,7 +189,7 @@ class Graph:
 
 
 def _build(batches: Iterator[pa.RecordBatch], keep: int) -> Iterator[pa.RecordBatch]:
-    """(shard, arrays) from (shard, id, v) sorted by shard. arrays: distinct vectors, ids, where each vector's ids start,
+    """INDEX rows from (dim, shard, id, v) sorted by shard. arrays: distinct vectors, ids, where each vector's ids start,
     and for each level its nodes and their neighbours."""
     for shard, ids, x in by_key(batches):
         order = np.argsort(ids, kind="stable")
@@ -204,7 +204,7 @@ def _build(batches: Iterator[pa.RecordBatch], keep: int) -> Iterator[pa.RecordBa
         arrays = packed(x[first], ids[by].astype(np.int64), starts.astype(np.int64))
         for nodes, near in zip(g.levels, g.near, strict=True):
             arrays += packed(nodes.astype(np.int64), near.astype(np.int32))
-        yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([arrays], pa.list_(pa.binary()))], ["shard", "arrays"])
+        yield pa.RecordBatch.from_arrays([pa.array([x.shape[1]], pa.int32()), pa.array([shard]), pa.array([arrays], pa.list_(pa.binary()))], ["dim", "shard", "arrays"])
 
 
 def load(arrays: list[bytes]) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:

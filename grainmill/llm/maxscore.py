@@ -162,9 +162,9 @@ class Search:
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(shard, arrays) from (shard, id, v) sorted by shard and id: ids and vectors."""
+    """INDEX rows from (dim, shard, id, v) sorted by shard and id: ids and vectors."""
     for shard, ids, x in by_key(batches):
-        yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([packed(ids.astype(np.int64), x.astype(np.int64))], pa.list_(pa.binary()))], ["shard", "arrays"])
+        yield pa.RecordBatch.from_arrays([pa.array([x.shape[1]], pa.int32()), pa.array([shard]), pa.array([packed(ids.astype(np.int64), x.astype(np.int64))], pa.list_(pa.binary()))], ["dim", "shard", "arrays"])
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:

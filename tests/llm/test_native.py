@@ -69,14 +69,15 @@ def test_secret_cases(spark):
     assert secret_scan.find_secrets(cases.empty(spark)).count() == 0
 
 
-def dropped(rows, ratio=line_dedup.RATIO, least=line_dedup.MIN_PAGES):
+def dropped(rows, ratio=line_dedup.RATIO, least=line_dedup.LEAST):
+    bare = lambda x: x.strip(" \t\r\f\v")
     pages, held = Counter(h for h, _ in rows if h is not None), Counter()
     for h, t in rows:
-        for line in {x.strip(" ") for x in (t or "").split("\n")} - {""}:
+        for line in {bare(x) for x in (t or "").split("\n")} - {""}:
             held[h, line] += 1
     out = []
     for h, t in rows:
-        bad = lambda x, h=h: h is not None and pages[h] >= least and x.strip(" ") != "" and held[h, x.strip(" ")] > ratio * pages[h]
+        bad = lambda x, h=h: h is not None and bare(x) != "" and held[h, bare(x)] >= least and held[h, bare(x)] > ratio * pages[h]
         out.append(None if t is None else "\n".join(x for x in t.split("\n") if not bad(x)))
     return out
 
@@ -85,16 +86,19 @@ def dropped(rows, ratio=line_dedup.RATIO, least=line_dedup.MIN_PAGES):
 def test_lines_against_python(spark, monkeypatch, limit):
     monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", limit)  # -1: the salted join
     rows = [("big", f"own {i}\nfooter \n\nmenu" if i % 3 else f"own {i}\nfooter\nfooter") for i in range(60)]
+    rows += [("big", f"{'m' * 70}\nmenu\n" * i + f"x{i}\r\n\tfooter\r\n \r\nmenu\f\ny") for i in range(30)]  # many dropped lines of one page
     rows += [("small", "footer\nsame")] * 5 + [(None, "footer\nx")] * 25 + [("big", None), ("big", ""), ("edge", "a\nb")] + [("edge", f"c{i}\n b ") for i in range(19)]
     df = spark.createDataFrame([(i, *r, "k") for i, r in enumerate(rows)], "doc_id long, source string, text string, keys string")
     got = {r["row"]["doc_id"]: r["text"] for r in line_dedup.drop_boilerplate(df).collect()}
     assert [got[i] for i in range(len(rows))] == dropped(rows)
-    assert got[0] == "own 0" and got[1] == "own 1\n" and got[65] == "footer\nx"
+    assert got[0] == "own 0" and got[1] == "own 1\n" and got[90] == "" and got[95] == "footer\nx" and got[70] == "x10\r\n \r"
 
 
 def test_line_cases(spark):
     rows = line_dedup.drop_boilerplate(cases.documents(spark)).collect()
-    assert len(rows) == len(cases.TEXTS) + 2 and all(r["text"] == r["row"]["text"] and r["n_dropped"] == 0 for r in rows)
+    want = dropped([(r["source"], r["text"]) for r in cases.documents(spark).collect()])
+    assert len(rows) == len(cases.TEXTS) + 2 and Counter(r["text"] for r in rows) == Counter(want)
+    assert {r["text"] for r in rows if r["n_dropped"]} == {""}  # the text that three rows repeat
     assert line_dedup.drop_boilerplate(cases.empty(spark)).count() == 0
 
 
@@ -105,19 +109,39 @@ URLS = [
 ]
 
 
-def test_urls_against_python(spark):
-    rules = url_rules.HOST_RULES + url_rules.PATTERN_RULES
+@pytest.mark.parametrize("inline", [url_rules.INLINE_RULES, 0])
+def test_urls_against_python(spark, inline, monkeypatch):
+    monkeypatch.setattr(url_rules, "INLINE_RULES", inline)  # 0: by the rule table
+    rules = url_rules.HOST_RULES + url_rules.PATTERN_RULES + [url_rules.Rule("block", "bl[o]gin", "")] * (inline > 0)
     df = spark.createDataFrame([(i, u, "h") for i, u in enumerate([*URLS, URLS[5]])], "page_id long, url string, host string")
     for r, url in zip(sorted(url_rules.judge(df, rules).collect(), key=lambda r: r["page_id"]), [*URLS, URLS[5]], strict=True):
         m = re.search(r"://([^/?#]*)([^?#]*)", url or "")
         host, path = ("".join(c.lower() if c < "\x80" else c for c in m[1]), m[2]) if m else ("", "")
         fit = [x for x in url_rules.HOST_RULES for h, _, p in [x.name.partition("/")] if (host == h or host.endswith("." + h)) and path.startswith("/" + p)]
         best = max(fit, key=lambda x: len(x.name), default=None)
-        own = any(re.search(x.regex, host + path) for x in url_rules.PATTERN_RULES)
+        own = any(re.search(x.regex, host + path) for x in rules if x.name is None)
         assert (r["host"], r["path"], r["rule"]) == (host, path, best.name if best else None), url
         assert r["verdict"] == (best.verdict if best else "block" if own else "allow"), url
 
 
+@pytest.mark.parametrize("limit", [url_rules.BROADCAST_BYTES, -1])
+def test_twenty_thousand_rules(spark, limit, monkeypatch):
+    monkeypatch.setattr(url_rules, "BROADCAST_BYTES", limit)  # -1: a join by shuffle
+    r = random.Random(7)
+    names = sorted({f"{r.choice('abcdefghij')}{r.randint(0, 3000)}.{r.choice(['com', 'net', 'co.uk'])}/{r.choice(['', 'a/', 'a/b/'])}" for _ in range(30_000)})[:20_000]
+    rules = {n: r.choice(["allow", "block"]) for n in names}
+    urls = [f"http://{r.choice(['', 'www.', 'x.y.'])}{r.choice(names).partition('/')[0]}/{r.choice(['', 'a/', 'a/b/c', 'q'])}" for _ in range(700)] + ["http://login.example.org/login/", None] + ["http://a.com/"] * 40
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {x["page_id"]: x for x in url_rules.judge(df, [url_rules.host_path(v, n) for n, v in rules.items()] + url_rules.PATTERN_RULES).collect()}
+    for i, url in enumerate(urls):
+        host, _, path = (url or "").removeprefix("http://").partition("/")
+        parts = host.split(".")
+        fit = [n for k in range(len(parts)) for p in ("", "a/", "a/b/") if path.startswith(p) and (n := ".".join(parts[k:]) + "/" + p) in rules]
+        best = max(fit, key=lambda n: (len(n), n), default=None)
+        assert (got[i]["rule"], got[i]["verdict"]) == (best, rules[best] if best else "block" if "/login/" in (url or "") else "allow"), url
+    assert len(rules) == 20_000 and len(got) == len(urls) and sum(x["rule"] is not None for x in got.values()) > 300
+
+
 def test_rules_are_filed_under_their_rarest_token(spark):
     df = spark.createDataFrame([(f"http://x{i}.example.com/en/",) for i in range(5)] + [("http://www.example.com/en/",)], "url string")
     counts = url_rules.token_counts(df, "url", ["com", "example", "www", "en", "zzz"])
