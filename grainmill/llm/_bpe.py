@@ -1,4 +1,4 @@
-"""Exact, cached encoding with a byte-pair tokenizer whose words end in `</w>`.
+"""Exact, cached encoding with a byte-pair tokenizer whose words end in `</w>`; any other tokenizer gets whole texts.
 
 White space separates words before anything else, so a text's ids are the ids of its words in order. Each
 distinct word is encoded once per worker and kept in a bounded cache. A word of plain Latin letters, digits and
@@ -113,7 +113,9 @@ class WordEncoder(dict):
             self.pieces = regex.compile(FILE_PATTERN).findall
 
     def words(self, text: str) -> list[str]:
-        if self.core and self.plain(text) and "<|" not in text:
+        if not self.core:  # white space need not be a boundary
+            return [text] if text else []
+        if self.plain(text) and "<|" not in text:
             text = text.lower()
             if "_" not in text and not _CLOSE_SIGNS.search(text):  # then each stop or comma is a piece of its own
                 text = text.replace(".", " . ").replace(",", " , ")

@@ -62,6 +62,11 @@ def _files(spark: SparkSession, path: str, use) -> None:
     use(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at)
 
 
+def beside(kind: T.DataType, rest: str, name: str = "row") -> T.StructType:
+    """Schema of a column of that type, whatever its fields are called, and further columns."""
+    return T.StructType([T.StructField(name, kind), *T.StructType.fromDDL(rest).fields])
+
+
 def small(df: DataFrame, limit: int) -> bool:
     """Whether the frame's values take at most `limit` bytes, which is counted: eight for a number, a string's length."""
     each = [F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) if isinstance(f.dataType, T.StringType | T.BinaryType) else F.lit(8) if not isinstance(f.dataType, T.ArrayType | T.StructType | T.MapType) else F.octet_length(F.to_json(f"`{f.name}`")) for f in df.schema]

@@ -32,8 +32,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from grainmill.llm._common import discard, small, stored, table
+from grainmill.llm._common import beside, discard, small, stored, table
 from grainmill.llm._shingles import fingerprints, keys_of, mix, shingle_sets
 from grainmill.llm.components import components
 from grainmill.llm.signature_tree import Union, bitmap, candidates
@@ -117,7 +118,7 @@ def signatures(docs: DataFrame, id_col: str, text: str) -> DataFrame:
         if size:
             yield frequent()
 
-    return _texts(docs, id_col, text).mapInArrow(run, f"id {kind.simpleString()}, h long, n long, fp long, fp2 long, bits binary, key long, hits long")
+    return _texts(docs, id_col, text).mapInArrow(run, beside(kind, "h long, n long, fp long, fp2 long, bits binary, key long, hits long", "id"))
 
 
 def hot_keys(sigs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -363,8 +364,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     out = rows.join(F.broadcast(gone) if few else gone, "id", "left_anti").select("row.*")
     if not repeated.isEmpty():
         again = rows.join(repeated, "id", "left_semi").select("id", "row", F.col("t").cast("binary").alias("t"))
-        kind = again.schema["row"].dataType.simpleString()
-        id_kind = again.schema["id"].dataType.simpleString()
 
         def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -372,7 +371,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
                 both = [pa.array(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64)) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *both], ["id", "row", "fp", "fp2"])
 
-        again = again.mapInArrow(prints, f"id {id_kind}, row {kind}, fp long, fp2 long")
+        schema = T.StructType([again.schema["id"], *beside(again.schema["row"].dataType, "fp long, fp2 long").fields])
+        again = again.mapInArrow(prints, schema)
         wordless = again.where("fp = 0 AND fp2 = 0").select("row.*")
         heads = found.where("n > 0 AND component = id").groupBy("component", "root").agg(F.min(F.struct("fp", "fp2")).alias("x")).select(F.col("component").alias("id"), "x.fp", "x.fp2")
         one = again.join(heads, ["id", "fp", "fp2"]).groupBy("id", "fp", "fp2").agg(F.first("row").alias("row")).select("row.*")

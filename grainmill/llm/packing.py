@@ -23,12 +23,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from grainmill.llm._bpe import WordEncoder
-from grainmill.llm._common import WORKER_STATE, table
+from grainmill.llm._common import WORKER_STATE, beside, table
 
 END_ID = 1
-PIECE = "doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
+PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
 class Packer:
@@ -120,16 +121,14 @@ class Packer:
 
 def pack_frame(docs: DataFrame, tokenizer: str | None = None, window: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece; see op8's contract. tier: the window's size; step_group: sequences that make one step."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = PIECE.format(kind=kind).replace("doc_id", f"`{id_col}`", 1)
-    id_type = pa.int64() if kind == "bigint" else None
+    schema = beside(docs.schema[id_col].dataType, PIECE, id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = ("packing", tokenizer)
         words = WORKER_STATE.get(key) or WORKER_STATE.setdefault(key, WordEncoder(tokenizer))
         end = np.uint32(END_ID).astype("<u4").tobytes()
         packer = Packer(TaskContext.get().partitionId() << 33, window)
-        types = [id_type, *[pa.int64()] * 6, pa.int32(), pa.int64()]
+        types = [None, *[pa.int64()] * 6, pa.int32(), pa.int64()]
         names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group"]
 
         def out() -> pa.RecordBatch:
@@ -138,6 +137,7 @@ def pack_frame(docs: DataFrame, tokenizer: str | None = None, window: int = 2048
 
         for batch in batches:
             ids = batch.column(0)
+            types[0] = ids.type
             for k, text in enumerate(batch.column(1)):
                 text = text.as_py()
                 packer.add(ids[k].as_py(), words.packed(text) + end if text else end)
@@ -147,7 +147,7 @@ def pack_frame(docs: DataFrame, tokenizer: str | None = None, window: int = 2048
         if packer.pieces:
             yield out()
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, schema)
 
 
 def op8_multi_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.llm._common import WORKER_STATE, table
+from grainmill.llm._common import WORKER_STATE, beside, table
 from grainmill.llm._text import by_size, code_points
 
 SAMPLE_POSITIVE, SAMPLE_NEGATIVE = 1500, 4500
@@ -373,8 +373,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
 
 def score(docs: DataFrame, lex: Lexicon, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """row: a struct of the columns to keep (all, unless named); score, n_hits and predicted."""
-    row = F.struct(*(keep or ["*"])).alias("row")
-    kind = docs.select(row).schema["row"].dataType.simpleString()
+    row = F.struct(*([F.col(f"`{c}`") for c in keep] if keep else ["*"])).alias("row")
+    kind = docs.select(row).schema["row"].dataType
     shared = docs.sparkSession.sparkContext.broadcast(lex)  # MAX_TERMS terms at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,7 +389,7 @@ def score(docs: DataFrame, lex: Lexicon, text: str = "text", keep: list[str] | N
                 columns = [batch.column(0).slice(at, len(texts)), pa.array(x, pa.float64()), pa.array([len(h) for h in found], pa.int32()), pa.array([int(v >= 0.5) for v in x], pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, ["row", "score", "n_hits", "predicted"])
 
-    return docs.select(row, F.col(text).alias("text")).mapInArrow(run, f"row {kind}, score double, n_hits int, predicted int")
+    return docs.select(row, F.col(f"`{text}`").alias("text")).mapInArrow(run, beside(kind, "score double, n_hits int, predicted int"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

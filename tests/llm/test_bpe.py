@@ -1,8 +1,10 @@
 import hashlib
+import json
 import random
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from grainmill.llm import _bpe, bpe_codec, packing
@@ -58,14 +60,63 @@ def test_copies_reuse_chunks():
     assert codec.encoded - made <= 4 and codec.reused > 10
 
 
-def test_codec_over_tables(spark, sf_dir, library):
-    rows = bpe_codec.op10_bpe_codec(spark, sf_dir).collect()
-    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+BYTES = public_tokenizers.path("byte_bpe_50k.json")
+BYTE_ALPHABET = "aB'sredvlltm   \n\n\t\xa0é日本²1234\u0300🙂!?._-<|>"
+
+
+@pytest.mark.parametrize("chunk", [2, 8, 64, 1024])
+def test_byte_level_joins_match_the_library(chunk):
+    library = Tokenizer.from_file(BYTES)
+    codec, r = bpe_codec.ChunkCodec(BYTES, chunk_bytes=chunk, max_chunks=64), random.Random(chunk)
+    assert codec.words.core is None and codec.pieces.chunked
+    for k in range(1500):
+        t = "".join(r.choice(BYTE_ALPHABET) for _ in range(r.randint(0, 300 if k % 9 == 0 else 40))) + r.choice(["", "", "<|endoftext|>x", " " * 40, "a" * 90])
+        want = library.encode(t, add_special_tokens=False).ids
+        n, ids, _ = codec.encode(t)
+        assert (n, ids) == (len(want), " ".join(map(str, want))), repr(t)
+    assert _bpe.WordEncoder(BYTES).packed(t) == b"".join(i.to_bytes(4, "little") for i in want)
+    text = " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(1000))
+    codec = bpe_codec.ChunkCodec(BYTES, chunk_bytes=chunk)
+    codec.encode(text)
+    before = codec.encoded
+    assert codec.encode("x " + text)[1].split() == [str(i) for i in library.encode("x " + text, add_special_tokens=False).ids]
+    assert codec.encoded - before <= 4
+
+
+def test_tokenizers_of_other_kinds_get_whole_texts(tmp_path):
+    spec = json.load(open(BYTES))
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    library, codec = Tokenizer.from_file(str(tmp_path / "t.json")), bpe_codec.ChunkCodec(str(tmp_path / "t.json"), chunk_bytes=2)
+    assert not codec.pieces.chunked
+    for t in ("", "one two", "a  b\n"):
+        want = library.encode(t, add_special_tokens=False).ids
+        assert codec.encode(t)[1] == " ".join(map(str, want))
+
+
+def test_caches_keep_the_newer_half():
+    c = bpe_codec.Cache(2)
+    for k in "abc":
+        c.put(k, k)
+    assert c.get("a") == "a" and c.get("c") == "c" and len(c.new) <= 2
+    c.put("d", "d")
+    c.put("e", "e")
+    assert c.get("b") is None and c.get("a") == "a"
+
+
+@pytest.mark.parametrize("path", [None, BYTES])
+def test_codec_over_tables(spark, sf_dir, path):
+    tokenizer = Tokenizer.from_file(path or PATH)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = bpe_codec.encode_frame(docs, tokenizer=path, digests=True).collect() if path else bpe_codec.op10_bpe_codec(spark, sf_dir).collect()
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     assert len(rows) == len(texts)
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    for r in rows[:60]:
-        ids = library.encode(texts[r["doc_id"]], add_special_tokens=False).ids
-        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False)))
+    for r in rows:
+        ids = tokenizer.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), sha(" ".join(map(str, ids))), sha(tokenizer.decode(ids, skip_special_tokens=False)))
 
 
 def test_codec_cases(spark, library):
@@ -122,6 +173,15 @@ def test_packing_cases(spark, library):
     pieces = packing.pack_frame(cases.documents(spark)).collect()
     assert sum(p["start"] == 0 for p in pieces) == n  # each row is packed for itself
     assert packing.pack_frame(cases.empty(spark)).count() == 0
+    for kind in ("int", "string", "decimal(20,0)"):
+        own = docs.where("doc_id < 5").withColumn("doc_id", F.col("doc_id").cast(kind))
+        got = packing.pack_frame(own)
+        assert got.schema["doc_id"].dataType == own.schema["doc_id"].dataType and got.where("start = 0").count() == 5
+
+
+def test_packing_with_another_tokenizer(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
+    check_pieces(packing.pack_frame(docs, tokenizer=BYTES).collect(), [(r["doc_id"], r["text"]) for r in docs.collect()], Tokenizer.from_file(BYTES))
 
 
 def test_packer_keeps_every_token_in_small_buffers():

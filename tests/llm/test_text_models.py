@@ -34,7 +34,7 @@ def test_viterbi_against_all_paths():
 
 def plain_label(text, model):
     """label() of one text with words by Viterbi alone."""
-    bucket, _, first, _, _ = language_id.trigrams([text])
+    bucket, _, first, _, _, _ = language_id.trigrams([text])
     path = language_id.viterbi(np.add.reduceat(model.scores[bucket], first, axis=0).astype(float))
     share = np.bincount(path, weights=np.diff(np.append(first, len(bucket))), minlength=len(model.languages))
     return model.languages[share.argmax()], float(share.max() / share.sum()), 1 + int(np.count_nonzero(np.diff(path)))
@@ -62,11 +62,11 @@ def languages(spark):
 
 
 def test_whole_texts_without_a_switch_are_left_to_the_shortcut(spark, languages):
-    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()][:60]
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text RLIKE '[a-z]'").collect()]
     fast = language_id.label(texts, languages)
     slow = []
     for t in texts:
-        bucket, script, first, _, _ = language_id.trigrams([t])
+        bucket, script, first, *_ = language_id.trigrams([t])
         scores = np.add.reduceat(languages.scores[bucket], first, axis=0).astype(float)
         path = language_id.viterbi(scores)
         share = np.bincount(path, weights=np.diff(np.append(first, len(bucket))))
@@ -85,15 +85,37 @@ def test_mixed_text_is_split_into_spans(spark, languages):
     a, b = by["en"][:700], by["de"][:300]
     lang, share, spans = language_id.label([a + " " + b], languages)[0]
     assert lang == "en" and spans >= 2 and 0.5 < share < 0.9
+    found = language_id.label([f"İ! {a} {b}"], languages, spans=True)[0][3]
+    assert found[0][0] == 0 and found[-1][1] >= len(a) + len(b) - 5 and {x for _, _, x in found} >= {"en", "de"}
+    assert all(x[1] <= y[0] and x[2] != y[2] for x, y in zip(found, found[1:], strict=False))
+    df = spark.createDataFrame([(1, a + " " + b, "x")], "doc_id long, text string, spans string")
+    r = language_id.predict(df, languages, spans=True).first()
+    assert r["row"]["spans"] == "x" and r["n_spans"] == len(r["spans"]) == spans and r["spans"][0]["lang"] == "en"
+
+
+def test_two_hundred_languages(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "CELLS", 1 << 22)  # fewer buckets than usual
+    r = random.Random(4)
+    words = {f"l{k:03}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 7))) for _ in range(40)] for k in range(200)}
+    rows = [(i, " ".join(r.choice(words[lang]) for _ in range(60)), lang) for i, lang in enumerate(sorted(words) * 3)]
+    df = spark.createDataFrame([*rows, (None, "zzz zzz", "none"), (9999, "zzz", None)], "doc_id long, text string, lang string")
+    model = language_id.fit(df)
+    assert model.languages == sorted(words) and model.scores.size <= 1 << 22
+    got = language_id.predict(df.where("doc_id < 600"), model).collect()
+    assert sum(x["row"]["lang"] == x["lang_pred"] for x in got) >= 0.99 * 600
+    mixed = " ".join(r.choice(words["l007"]) for _ in range(30)) + " " + " ".join(r.choice(words["l150"]) for _ in range(40))
+    assert [x for *_, x in language_id.label([mixed], model, spans=True)[0][3]] == ["l007", "l150"]
 
 
 def test_language_cases(spark, languages):
-    rows = language_id.predict(cases.documents(spark).select("doc_id", "text"), languages).collect()
-    got = {r["doc_id"]: r["lang_pred"] for r in rows}
+    docs = cases.documents(spark).withColumn("lang_pred", F.lit("x"))
+    rows = language_id.predict(docs, languages).collect()
+    got = {r["row"]["doc_id"]: r["lang_pred"] for r in rows}
+    assert all(r["row"]["score"] == 0.5 and r["row"]["lang_pred"] == "x" for r in rows)
     assert len(rows) == len(cases.TEXTS) + 2 and [got[k] for k in range(3)] == ["und"] * 3 and got[5] in languages.languages
-    assert language_id.predict(cases.empty(spark).select("doc_id", "text"), languages).count() == 0
+    assert language_id.predict(cases.empty(spark), languages).count() == 0
     nothing = language_id.fit(cases.empty(spark))
-    assert {r["lang_pred"] for r in language_id.predict(cases.documents(spark).select("doc_id", "text"), nothing).collect()} == {"und"}
+    assert {r["lang_pred"] for r in language_id.predict(cases.documents(spark), nothing).collect()} == {"und"}
 
 
 def test_automaton_against_levenshtein():
