@@ -12,7 +12,7 @@ from grainmill.llm._common import stored, table
 def _with_text(df: DataFrame, clean: str, columns: list[str]) -> DataFrame:
     """The columns of `row` with the new text and its length."""
     new = {"text": F.col(clean), "n_chars": F.length(clean).cast("long")}
-    return df.select(*[new[c].alias(c) if c in new else F.col(f"row.{c}").alias(c) for c in columns])
+    return df.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
