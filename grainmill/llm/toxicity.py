@@ -1,18 +1,22 @@
 """Operator 7: toxicity by a fuzzy lexicon in context.
 
 The lexicon is learned from labelled documents: words, and stems (beginnings of words), whose document counts
-differ between the labels far beyond chance. Levenshtein automata of all terms are intersected with the lexicon's
-trie into one deterministic automaton; whole batches of words step through it at once, so misspelled terms are
-found at the price of exact ones. Edits are allowed by length (EDITS) and never on the first letter; digits stand
-for the letters they look like. Each hit has its term's learned weight, a discount if misspelled, and a factor from
-its context window: quotation marks and verbs of saying lower it, address and further hits raise it. A logistic
-curve, fitted on the labelled documents with hits, turns the sum into the score; without hits it is their rate.
-
-Fitting uses at most SAMPLE_POSITIVE + SAMPLE_NEGATIVE labelled rows (by hash of the id; whole texts), weighs every
-term of theirs that reaches MIN_SUPPORT, MIN_LIFT and MIN_RATIO, and keeps at most MAX_TERMS terms. Scoring is row by row: no shuffle, memory of a batch.
-
-Null and empty text score as text without hits; without labelled rows every score is 0; equal rows give equal
-results; an empty table gives no rows; documents with several labels count as toxic if one label says so.
+differ between the labels far beyond chance. Levenshtein automata of all terms, with swaps of neighbours as one edit, are
+intersected with the lexicon's trie into one deterministic automaton, whose states are made when a word first reaches
+them; whole batches of words step through it at once, so misspelled terms are found at the price of exact ones. Edits
+are allowed by length (EDITS); digits stand for the letters they look like. A misspelled form has less weight than its
+term; one that stands in clean labelled documents, such as a clean neighbour word, has the weight that they leave it, if
+any, and a term with NEIGHBOURS such forms or more is not sought in other misspellings. Each hit also has a factor from its context window: quotation marks and verbs of saying lower it, address and
+further hits raise it. A logistic curve, fitted on the labelled documents with hits, turns the sum into the score;
+without hits it is their rate.
+
+Fitting uses at most SAMPLE_POSITIVE + SAMPLE_NEGATIVE labelled rows (by hash of the id; whole texts) and weighs every
+term of theirs that reaches MIN_SUPPORT, MIN_LIFT and MIN_RATIO; the lexicon has no other limit. Scoring is row by row:
+no shuffle, memory of a batch and of the automaton, which starts anew beyond MAX_STATES states.
+
+Null and empty text score as text without hits; without labelled rows every score is 0; rows with a null id are not
+learned from; equal rows give equal results; an empty table gives no rows; documents with several labels count as toxic
+if one label says so; input columns travel in a struct, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -31,10 +35,13 @@ from grainmill.llm._common import WORKER_STATE, beside, table
 from grainmill.llm._text import by_size, code_points
 
 SAMPLE_POSITIVE, SAMPLE_NEGATIVE = 1500, 4500
-MAX_TERMS, MIN_SUPPORT = 96, 3
+MIN_SUPPORT = 3
+SAMPLE_PART = 500  # documents of the sample in a task
 MIN_RATIO, STRONG, MIN_LIFT = 13.0, 60.0, 30.0  # likelihood-ratio statistics of a term; rate among toxic over rate among others
 EDITS = [(0, 0), (5, 1), (9, 2)]  # from this length on, so many edits; stems are held one step shorter
 STEM = (3, 12)
+MISSPELLED, NEIGHBOURS = 0.8, 3  # share of a term's weight
+MAX_STATES = 50_000
 WINDOW = 60  # code points on either side
 MOST = 20.0  # evidence of one text
 LOOKS_LIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
@@ -54,93 +61,135 @@ def _classes() -> np.ndarray:
 
 @dataclass
 class Lexicon:
-    """Terms (a trailing * marks a stem) and weights; the automaton: states x classes, and what each state accepts."""
+    """Terms (a trailing * marks a stem) and weights."""
 
     terms: list[str] = field(default_factory=list)
     weights: list[float] = field(default_factory=list)
-    fuzzy: list[float] = field(default_factory=list)  # weight of misspelled forms
-    alphabet: dict[int, int] = field(default_factory=dict)  # code point -> class; 0: any other
-    table: np.ndarray = field(default_factory=lambda: np.zeros((1, 1), np.int32))
-    accepts: np.ndarray = field(default_factory=lambda: np.full((1, 2), -1, np.int32))  # term and edits at a word's end
-    depth: int = 0
+    forms: dict[str, float] = field(default_factory=dict)  # weights of misspelled forms that stand in clean documents
+    plain: set[int] = field(default_factory=set)  # terms with so many of these that other misspellings say nothing
     curve: tuple[float, float] = (0.0, -50.0)  # slope and offset where there is evidence
     base: float = 0.0  # score without any
 
+    def weight(self, term: int, edits: int, form: str) -> float:
+        own = self.weights[term]
+        return own if edits == 0 else self.forms.get(form, 0.0 if term in self.plain else MISSPELLED * own)
+
+    @property
+    def automaton(self) -> "Automaton":
+        made = self.__dict__.get("_automaton")
+        if made is None or len(made.states) > MAX_STATES:
+            made = self.__dict__["_automaton"] = Automaton(self.terms, self.weights)
+        return made
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_automaton"}
+
 
 def edits_for(term: str) -> int:
     n = len(term.rstrip("*")) - (2 if term.endswith("*") else 0)
     return max(e for size, e in EDITS if n >= size) if n > 0 else 0
 
 
-def automaton(lex: Lexicon) -> Lexicon:
-    """The deterministic automaton of all terms' Levenshtein automata over their trie. A state is a set of
-    (trie node, edits) and of stems already met; state 0 is dead, 1 the start."""
-    children: list[dict[str, int]] = [{}]
-    ends: list[list[int]] = [[]]
-    allowed = [0]
-    for t, term in enumerate(lex.terms):
-        node, most = 0, edits_for(term)
-        for c in term.rstrip("*"):
-            node = children[node].setdefault(c, len(children))
-            if node == len(allowed):
-                children.append({})
-                ends.append([])
-                allowed.append(0)
-            allowed[node] = max(allowed[node], most)
-        ends[node].append(t)
-    letters = sorted({c for x in children for c in x})
-    lex.alphabet = {ord(c): k + 1 for k, c in enumerate(letters)}
-    lex.alphabet |= {ord(a): lex.alphabet[ord(b)] for a, b in LOOKS_LIKE.items() if ord(b) in lex.alphabet and ord(a) not in lex.alphabet}
-
-    def closed(found: dict) -> frozenset:
+class Automaton:
+    """The deterministic automaton of all terms' Levenshtein automata over their trie. A state is a set of trie nodes
+    with edits spent, of swaps under way, and of stems already met; state 0 is dead, 1 the start. table: states x letter
+    classes, -1 where no word has been yet; accepts: term and edits at a word's end."""
+
+    def __init__(self, terms: list[str], weights: list[float]) -> None:
+        self.terms, self.weights = terms, weights
+        self.children: list[dict[str, int]] = [{}]
+        self.ends: list[list[int]] = [[]]
+        self.allowed = [0]  # most edits of a term below
+        self.edits = [edits_for(t) for t in terms]
+        for t, term in enumerate(terms):
+            path = [0]
+            for c in term.rstrip("*"):
+                node = self.children[path[-1]].setdefault(c, len(self.children))
+                if node == len(self.allowed):
+                    self.children.append({})
+                    self.ends.append([])
+                    self.allowed.append(0)
+                path.append(node)
+            self.ends[path[-1]].append(t)
+            for node in path:
+                self.allowed[node] = max(self.allowed[node], self.edits[t])
+        self.letters = [None, *sorted({c for x in self.children for c in x})]
+        self.alphabet = {ord(c): k for k, c in enumerate(self.letters) if c}
+        self.alphabet |= {ord(a): self.alphabet[ord(b)] for a, b in LOOKS_LIKE.items() if ord(b) in self.alphabet and ord(a) not in self.alphabet}
+        self.stems = np.array([t.endswith("*") for t in terms], bool)
+        self.depth = max((len(t) + 2 for t in terms), default=0)
+        self.states: list[frozenset] = []
+        self.index: dict[frozenset, int] = {}
+        self.table, self.accepts = np.zeros((0, len(self.letters)), np.int32), np.zeros((0, 2), np.int32)
+        self._state({})
+        self.table[0] = 0
+        self._state(self._closed({("node", 0, ""): 0}))
+
+    def _closed(self, found: dict) -> dict:
         """Adds deletions of letters of a term, and stems that are complete; keeps the fewest edits of each."""
         todo = list(found)
         while todo:
-            kind, node = x = todo.pop()
+            kind, node, _ = x = todo.pop()
             if kind != "node":
                 continue
             e = found[x]
-            for t in ends[node]:
-                if lex.terms[t].endswith("*") and e <= edits_for(lex.terms[t]) and found.get(("stem", t), 9) > e:
-                    found["stem", t] = e
-            if node:
-                for child in children[node].values():
-                    if e + 1 <= allowed[child] and found.get(("node", child), 9) > e + 1:
-                        found["node", child] = e + 1
-                        todo.append(("node", child))
-        return frozenset(found.items())
-
-    start = closed({("node", 0): 0})
-    states, order, rows = {frozenset(): 0, start: 1}, [frozenset(), start], []
-    for state in order:  # grows while it is walked
-        row = []
-        for c in [None, *letters]:
-            found: dict = {}
-            for (kind, node), e in state:
-                if kind == "stem":
-                    found[kind, node] = min(e, found.get((kind, node), 9))
-                    continue
-                options = [(child, e if letter == c else e + 1) for letter, child in children[node].items() if letter == c or node]
-                if node:
-                    options.append((node, e + 1))
-                for n, cost in options:
-                    if cost <= allowed[n] and cost < found.get(("node", n), 9):
-                        found["node", n] = cost
-            new = closed(found)
-            if new not in states:
-                states[new] = len(order)
-                order.append(new)
-            row.append(states[new])
-        rows.append(row)
-    lex.table, lex.accepts = np.array(rows, np.int32), np.full((len(order), 2), -1, np.int32)
-    for k, state in enumerate(order):
-        met = [(e, -lex.weights[n], n) for (kind, n), e in state if kind == "stem"]
-        met += [(e, -lex.weights[t], t) for (kind, n), e in state if kind == "node" for t in ends[n] if not lex.terms[t].endswith("*") and e <= edits_for(lex.terms[t])]
-        if met:
-            e, _, t = min(met)
-            lex.accepts[k] = t, e
-    lex.depth = max((len(t) + 2 for t in lex.terms), default=0)
-    return lex
+            for t in self.ends[node]:
+                if self.stems[t] and e <= self.edits[t] and found.get(("stem", t, ""), 9) > e:
+                    found["stem", t, ""] = e
+            for child in self.children[node].values():
+                if e + 1 <= self.allowed[child] and found.get(("node", child, ""), 9) > e + 1:
+                    found["node", child, ""] = e + 1
+                    todo.append(("node", child, ""))
+        return found
+
+    def _state(self, found: dict) -> int:
+        state = frozenset(found.items())
+        number = self.index.setdefault(state, len(self.states))
+        if number == len(self.states):
+            self.states.append(state)
+            if number >= len(self.table):
+                more = max(64, number)
+                self.table = np.concatenate([self.table, np.full((more, len(self.letters)), -1, np.int32)])
+                self.accepts = np.concatenate([self.accepts, np.full((more, 2), -1, np.int32)])
+            met = [(e, -self.weights[n], n) for (kind, n, _), e in state if kind == "stem"]
+            met += [(e, -self.weights[t], t) for (kind, n, _), e in state if kind == "node" for t in self.ends[n] if not self.stems[t] and e <= self.edits[t]]
+            if met:
+                e, _, t = min(met)
+                self.accepts[number] = t, e
+        return number
+
+    def _next(self, state: int, letter: str | None) -> int:
+        found: dict = {}
+
+        def reach(key: tuple, cost: int) -> None:
+            if cost < found.get(key, 9):
+                found[key] = cost
+
+        for (kind, node, wanted), e in self.states[state]:
+            if kind == "stem":
+                reach((kind, node, ""), e)
+            elif kind == "swap":
+                if letter == wanted:
+                    reach(("node", node, ""), e)
+            else:
+                for c, child in self.children[node].items():
+                    cost = e + (c != letter)
+                    if cost <= self.allowed[child]:
+                        reach(("node", child, ""), cost)
+                    behind = self.children[child].get(letter) if c != letter else None
+                    if behind is not None and e + 1 <= self.allowed[behind]:
+                        reach(("swap", behind, c), e + 1)
+                if e + 1 <= self.allowed[node]:
+                    reach(("node", node, ""), e + 1)
+        return self._state(self._closed(found))
+
+    def step(self, states: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        new = self.table[states, classes]
+        for key in np.unique(states[new < 0].astype(np.int64) * len(self.letters) + classes[new < 0]).tolist():
+            state, k = divmod(key, len(self.letters))
+            to = self._next(state, self.letters[k])
+            self.table[state, k] = to  # after _next, which may move the table
+        return self.table[states, classes]
 
 
 def hits(texts: list[str], lex: Lexicon) -> list[list[tuple[int, int, int, int]]]:
@@ -156,25 +205,24 @@ def hits(texts: list[str], lex: Lexicon) -> list[list[tuple[int, int, int, int]]
     edge = np.diff(word.astype(np.int8), prepend=0)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     size = end - start
-    top = max(max(lex.alphabet) + 1, 256)
+    auto = lex.automaton
+    top = max(max(auto.alphabet) + 1, 256)
     to_class = np.zeros(top, np.int32)
-    for c, k in lex.alphabet.items():
+    for c, k in auto.alphabet.items():
         to_class[c] = k
     cls = to_class[np.where(cp < top, cp, 0)]
     state, live = np.ones(len(start), np.int32), np.arange(len(start))
-    stem = np.array([t.endswith("*") for t in lex.terms])
-    longest = lex.depth
-    for k in range(longest):
+    for k in range(auto.depth):
         live = live[size[live] > k]
-        new = lex.table[state[live], cls[start[live] + k]]
+        new = auto.step(state[live], cls[start[live] + k])
         state[live] = new
         live = live[new > 0]
         if not len(live):
             break
-    found = lex.accepts[state]
-    over = size > longest  # a longer word can only hold a stem, and stems are met by then
+    found = auto.accepts[state]
+    over = size > auto.depth  # a longer word can only hold a stem, and stems are met by then
     term = found[:, 0]
-    ok = np.flatnonzero((term >= 0) & (~over | stem[np.maximum(term, 0)]))
+    ok = np.flatnonzero((term >= 0) & (~over | auto.stems[np.maximum(term, 0)]))
     owner = np.searchsorted(at, start[ok], "right") - 1
     for k, j in zip(ok.tolist(), owner.tolist(), strict=True):
         out[j].append((int(start[k] - at[j]), int(end[k] - at[j]), int(found[k, 0]), int(found[k, 1])))
@@ -198,11 +246,9 @@ def context(text: str, own: tuple, all_hits: list[tuple]) -> float:
 
 
 def evidence(text: str, found: list[tuple], lex: Lexicon) -> float:
-    found = [h for h in found if h[3] == 0 or lex.fuzzy[h[2]] > 0]
-    if not found:
-        return 0.0
-    each = [(lex.weights[h[2]] if h[3] == 0 else lex.fuzzy[h[2]]) * context(text, h, found) for h in found]
-    return min(sum(each), MOST)
+    weighed = [(h, w) for h in found if (w := lex.weight(h[2], h[3], text[h[0] : h[1]])) > 0]
+    left = [h for h, _ in weighed]
+    return min(sum(w * context(text, h, left) for h, w in weighed), MOST)
 
 
 def _words(text: str | None) -> set[str]:
@@ -220,7 +266,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text, label in zip(batch.column(0), batch.column(1), strict=True):
             (toxic if label.as_py() else other).update({t for w in _words(text.as_py()) for t in _forms(w)})
-    names = [t for t in toxic | other if len(t) <= 40]
+    names = list(toxic | other)
     for k in range(0, len(names), 100_000):
         part = names[k : k + 100_000]
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([toxic[t] for t in part], pa.int64()), pa.array([other[t] for t in part], pa.int64())], ["term", "pos", "neg"])
@@ -261,7 +307,7 @@ def choose(terms: list[str], toxic: np.ndarray, other: np.ndarray) -> list[tuple
     p, q = toxic.sum(0).astype(float), other.sum(0).astype(float)
     chosen: list[int] = []
     left = np.ones(n_pos, bool)
-    while left.any() and len(chosen) < MAX_TERMS and len(terms):
+    while left.any() and len(terms):
         own = toxic[left].sum(0).astype(float)
         ratio = np.where(own >= MIN_SUPPORT, _ratio(own, q, int(left.sum()), n_neg), 0.0)
         best = int(ratio.argmax())
@@ -274,7 +320,7 @@ def choose(terms: list[str], toxic: np.ndarray, other: np.ndarray) -> list[tuple
     for k in np.argsort(-whole, kind="stable"):
         body = terms[k].rstrip("*")
         held = any(terms[c].endswith("*") and body.startswith(terms[c][:-1]) or terms[k].endswith("*") and terms[c].startswith(body) for c in chosen)
-        if k not in chosen and whole[k] >= enough and p[k] >= 0.02 * n_pos and not held and len(chosen) < MAX_TERMS:
+        if k not in chosen and whole[k] >= enough and p[k] >= 0.02 * n_pos and not held:
             chosen.append(int(k))
     return [(terms[k], math.log((p[k] + 0.5) / (n_pos + 1)) - math.log((q[k] + 0.5) / (n_neg + 1))) for k in chosen]
 
@@ -296,13 +342,15 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> Lexicon:
     """docs and labels: the rows that may be learned from. What reaches the driver is bounded by the sample's size."""
     spark = docs.sparkSession
-    known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label).alias("toxic"))
-    part = lambda y, n: known.where(F.col("toxic") == y).orderBy(F.xxhash64(id_col), id_col).limit(n)
+    known = labels.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label}`").alias("toxic")).where("toxic IS NOT NULL AND _id IS NOT NULL").groupBy("_id").agg(F.max("toxic").alias("toxic"))
+    part = lambda y, n: known.where(F.col("toxic") == y).orderBy(F.xxhash64("_id"), "_id").limit(n)
     ids = part(1, SAMPLE_POSITIVE).unionAll(part(0, SAMPLE_NEGATIVE)).toPandas()
     if not len(ids):
         return Lexicon()
-    chosen = F.broadcast(spark.createDataFrame(ids).withColumnRenamed(id_col, "_id"))  # bounded by the sample
-    sample = docs.join(chosen, F.col(id_col) == F.col("_id")).select(F.col(text), F.col("toxic").cast("int").alias("toxic")).repartition(12).persist()
+    chosen = F.broadcast(spark.createDataFrame(ids))  # bounded by the sample
+    texts = docs.select(F.col(f"`{id_col}`").alias("own_id"), F.col(f"`{text}`").alias("text"))
+    sample = texts.join(chosen, F.col("own_id") == F.col("_id")).select("text", F.col("toxic").cast("int").alias("toxic"))
+    sample = sample.repartition(-(-len(ids) // SAMPLE_PART)).persist()
     try:
         n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
         n_pos, n_neg = n.get(1, 0), n.get(0, 0)
@@ -334,24 +382,28 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
                 m[i, places] = True
             sides.append(m)
         chosen_terms = choose(short, *sides)
-        lex = automaton(Lexicon([t for t, _ in chosen_terms], [w for _, w in chosen_terms], [w for _, w in chosen_terms]))
+        lex = Lexicon([t for t, _ in chosen_terms], [w for _, w in chosen_terms])
 
         def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Documents of either label in which a term stands only misspelled."""
+            """Documents of either label in which a misspelled form stands."""
             got: Counter = Counter()
             for batch in batches:
                 labels_ = batch.column(1).to_pylist()
                 for at, texts in by_size(batch.column(0)):
-                    for k, found in enumerate(hits([(t or "").lower() for t in texts], lex)):
-                        got.update({(t, labels_[at + k]) for _, _, t, e in found if e})
+                    low = [(t or "").lower() for t in texts]
+                    for k, found in enumerate(hits(low, lex)):
+                        got.update({(low[k][a:b], t, labels_[at + k]) for a, b, t, e in found if e})
             keys = list(got)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([got[k] for k in keys], pa.int64())], ["term", "toxic", "n"])
+            kinds = [pa.string(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([*[pa.array([k[c] for k in keys], kinds[c]) for c in range(3)], pa.array([got[k] for k in keys], pa.int64())], ["form", "term", "toxic", "n"])
 
-        spelled = {(r["term"], r["toxic"]): r["n"] for r in sample.mapInArrow(forms, "term int, toxic int, n long").groupBy("term", "toxic").agg(F.sum("n").alias("n")).collect()}
-        for t, w in enumerate(lex.weights):
-            p, q = spelled.get((t, 1), 0), spelled.get((t, 0), 0)
-            own = math.log((p + 1) / (n_pos + 1)) - math.log((q + 1) / (n_neg + 1))
-            lex.fuzzy[t] = 0.8 * min(w, own) if q and own >= 2 else 0.0 if q else 0.8 * w
+        spelled = sample.mapInArrow(forms, "form string, term int, toxic int, n long").groupBy("form", "term").agg(F.sum(F.expr("IF(toxic = 1, n, 0)")).alias("p"), F.sum(F.expr("IF(toxic = 1, 0, n)")).alias("q"))
+        near: Counter = Counter()
+        for r in spelled.where("q > 0").collect():  # words of the sample
+            near[r["term"]] += 1
+            own = math.log((r["p"] + 1) / (n_pos + 1)) - math.log((r["q"] + 1) / (n_neg + 1))
+            lex.forms[r["form"]] = MISSPELLED * min(lex.weights[r["term"]], own) if own >= 2 else 0.0
+        lex.plain = {t for t, n in near.items() if n >= NEIGHBOURS}
 
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -375,7 +427,7 @@ def score(docs: DataFrame, lex: Lexicon, text: str = "text", keep: list[str] | N
     """row: a struct of the columns to keep (all, unless named); score, n_hits and predicted."""
     row = F.struct(*([F.col(f"`{c}`") for c in keep] if keep else ["*"])).alias("row")
     kind = docs.select(row).schema["row"].dataType
-    shared = docs.sparkSession.sparkContext.broadcast(lex)  # MAX_TERMS terms at most
+    shared = docs.sparkSession.sparkContext.broadcast(lex)  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value

@@ -14,13 +14,17 @@ SF = "/root/testdata/sf0.01"
 
 
 def distance(a, b):
-    row = list(range(len(b) + 1))
+    """Insertions, deletions, substitutions and swaps of neighbours."""
+    rows = [list(range(len(b) + 1))]
     for i, x in enumerate(a, 1):
         new = [i]
         for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-        row = new
-    return row[-1]
+            best = min(rows[-1][j] + 1, new[-1] + 1, rows[-1][j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2]:
+                best = min(best, rows[-2][j - 2] + 1)
+            new.append(best)
+        rows.append(new)
+    return rows[-1][-1]
 
 
 def test_viterbi_against_all_paths():
@@ -120,38 +124,53 @@ def test_language_cases(spark, languages):
 
 def test_automaton_against_levenshtein():
     terms = ["trash", "pathetic", "moron", "scum", "vequ*", "lowei*", "disgusting"]
-    lex = toxicity.automaton(toxicity.Lexicon(terms, [1.0] * 7, [1.0] * 7))
+    lex = toxicity.Lexicon(terms, [1.0] * 7)
     r = random.Random(3)
     for _ in range(6000):
         term = r.choice(terms)
         w = list(term.rstrip("*"))
         for _ in range(r.randint(0, 3)):
             k, o = r.randint(0, len(w)), r.random()
-            if o < 0.3 and k < len(w):
+            if o < 0.25 and k < len(w):
                 w[k] = r.choice("tranxpm")
-            elif o < 0.6 and len(w) > 1 and k < len(w):
+            elif o < 0.5 and len(w) > 1 and k < len(w):
                 del w[k]
+            elif o < 0.75 and k + 1 < len(w):
+                w[k], w[k + 1] = w[k + 1], w[k]
             else:
                 w.insert(k, r.choice("tranxpm"))
         word = "".join(w) + (r.choice(["", "an", "ouai", "x" * 15]) if term.endswith("*") else "")
         want = []
         for t in terms:
-            body = t.rstrip("*")
-            if word[0] == body[0]:
-                ends = range(1, len(word) + 1) if t.endswith("*") else [len(word)]
-                least = min(distance(body[1:], word[1:k]) for k in ends)
-                if least <= toxicity.edits_for(t):
-                    want.append(least)
+            ends = range(1, len(word) + 1) if t.endswith("*") else [len(word)]
+            least = min(distance(t.rstrip("*"), word[:k]) for k in ends)
+            if least <= toxicity.edits_for(t):
+                want.append(least)
         got = toxicity.hits([word], lex)[0]
         assert [min(want)] == [h[3] for h in got] if want else not got, word
 
 
+def test_a_thousand_terms(monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_STATES", 2000)  # so that the automaton starts anew
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(6, 12)))
+    terms = sorted({word() for _ in range(1100)})[:1000] + ["b" * 60]
+    lex = toxicity.Lexicon(terms, [1.0] * len(terms))
+    for _ in range(4):
+        chosen = [r.choice(terms) for _ in range(60)]
+        wrong = [t[:3] + t[4:] for t in chosen]
+        found = toxicity.hits([" ".join(x) for x in (chosen, wrong)], lex)
+        assert [terms[h[2]] for h in found[0]] == chosen and all(h[3] == 0 for h in found[0])
+        assert [terms[h[2]] for h in found[1]] == chosen
+
+
 def test_context_separates_quotation_from_abuse():
-    lex = toxicity.automaton(toxicity.Lexicon(["moron"], [5.0], [4.0]))
+    lex = toxicity.Lexicon(["moron"], [5.0], {"maron": 0.0, "moran": 3.0})
     value = lambda t: toxicity.evidence(t, toxicity.hits([t], lex)[0], lex)
     quoted, plain, abuse = value('he said the word "moron" is rude'), value("that is a moron there"), value("you moron, you m0ron")
     assert quoted < plain < abuse and value("nothing here") == 0
     assert value("you mor0n") > 0 and value("you mooron") > 0 and value("the maroons") == 0
+    assert value("omron") == value("xoron") == value("oron") == 4.0 and value("maron") == 0 and value("moran") == 3.0
 
 
 def test_shortlist_holds_every_strong_word_once():
@@ -168,6 +187,18 @@ def lexicon(spark):
     return toxicity.fit(learn(spark.read.parquet(f"{SF}/documents.parquet")), learn(spark.read.parquet(f"{SF}/labels.parquet")))
 
 
+def test_planted_misspellings_are_found(lexicon):
+    r, words = random.Random(2), [t for t in lexicon.terms if t.isalpha() and t.isascii() and len(t) >= 5]
+    found = total = 0
+    for w in words * 20:
+        k = r.randrange(len(w))
+        form = r.choice([w[:k] + w[k + 1 :], w[:k] + r.choice("abcdefghij") + w[k + 1 :], w[:k] + r.choice("abcdefghij") + w[k:], w[: max(k - 1, 0)] + w[max(k - 1, 0) : k + 1][::-1] + w[k + 1 :]])
+        low = f"thonea the reand, you {form} of the"
+        found += toxicity.evidence(low, toxicity.hits([low], lexicon)[0], lexicon) > 0
+        total += 1
+    assert len(words) >= 5 and found >= 0.85 * total
+
+
 def test_held_out_toxicity(spark):
     large = "/root/testdata/sf0.1"  # six of its 97 toxic held-out texts are junk without any word to learn from
     rows = toxicity.op7_toxicity(spark, large).where("held_out").join(spark.read.parquet(f"{large}/labels.parquet"), "doc_id").collect()
