@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from grainmill.llm import _shards, hnsw, maxscore, ngram_join, registry, signature_tree
 from grainmill.llm._shingles import shingle_sets
+from grainmill.llm import components as components_module
 from grainmill.llm.components import components
 from tests.compare import differences
 from tests.llm import cases
@@ -161,7 +162,9 @@ def test_bounds_never_lose_a_link():
     assert {p for p in linked if sides[p[0]] != sides[p[1]]} <= across
 
 
-def test_components_against_union_find(spark):
+@pytest.mark.parametrize("few", [components_module.FEW_EDGES, -1])
+def test_components_against_union_find(spark, few, monkeypatch):
+    monkeypatch.setattr(components_module, "FEW_EDGES", few)  # -1: hubs by broadcast
     r = random.Random(6)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, k) for k in range(101, 130)] + [(r.randint(200, 260), r.randint(200, 260)) for _ in range(45)]
     up = {x: x for e in edges for x in e}
