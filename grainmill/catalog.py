@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grainmill import sources
 from grainmill.functions import hash_mod, hash_murmur, hash_offset, hash_polynomial, hash_universal
 from grainmill.operators import aggregate, join, membership, ordering, project, report, scan
 from grainmill.sources import read_table
@@ -42,7 +43,21 @@ def vector_add(spark, d):
 
 @query("SELECT o_orderkey, o_custkey FROM orders")
 def layout_roundtrip(spark, d):
-    return project.to_columns(project.to_rows(read_table(spark, d, "orders").select("o_orderkey", "o_custkey")))
+    """Rows, chunk by chunk, to columns and back."""
+    orders, columns = read_table(spark, d, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey", "o_custkey"]
+    return project.flat(project.to_columns(project.to_rows(orders, F.expr("o_orderkey div 64")), columns), columns)
+
+
+@query("SELECT l_orderkey, unnest([l_partkey, l_suppkey]) AS key, unnest(['part', 'supplier']) AS kind FROM lineitem")
+def zip_columns(spark, d):
+    items = read_table(spark, d, "lineitem").select("l_orderkey", F.array("l_partkey", "l_suppkey").alias("key"), F.array(F.lit("part"), F.lit("supplier")).alias("kind"))
+    return items.select("l_orderkey", F.inline(project.zip_columns(F.col("key"), F.col("kind"))))
+
+
+@query("SELECT count(*) AS n, count(DISTINCT x) AS d, min(x) >= 0 AND max(x) < 100000 AS fits FROM range(10000) t(x)")
+def unique_ints(spark, d):
+    """A source that needs no table: 10,000 distinct numbers below 100,000."""
+    return sources.unique_ints(spark, 10_000, seed=3).agg(F.count("*").alias("n"), F.count_distinct("x").alias("d"), ((F.min("x") >= 0) & (F.max("x") < 100_000)).alias("fits"))
 
 
 @query("SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity < 5")
@@ -229,11 +244,31 @@ def hash_polynomial_buckets(spark, d):
     return _hashed(spark, d, lambda k: hash_polynomial(k, 1009, 7))
 
 
-@query()
+def _murmur_sql(seed: int, buckets: int) -> str:
+    """Murmur3_x86_32 of a bigint, with 128-bit products cut to 32 bits."""
+    mul = lambda a, b: f"(({a})::HUGEINT * {b} % 4294967296)::BIGINT"
+    rotl = lambda a, n: f"((({a}) << {n}) & 4294967295 | (({a}) >> {32 - n}))"
+    steps = [f"SELECT o_orderkey, (o_orderkey & 4294967295) AS lo, ((o_orderkey >> 32) & 4294967295) AS hi, {seed}::BIGINT AS h FROM orders"]
+    for word in ("lo", "hi"):
+        steps.append(f"SELECT *, {mul(word, 3432918353)} AS k FROM ({steps[-1]})")
+        steps.append(f"SELECT *, xor(h, {mul(rotl('k', 15), 461845907)}) AS g FROM ({steps[-1]})")
+        steps.append(f"SELECT o_orderkey, lo, hi, ({mul(rotl('g', 13), 5)} + 3864292196) % 4294967296 AS h FROM ({steps[-1]})")
+    steps.append(f"SELECT o_orderkey, xor(h, 8) AS h FROM ({steps[-1]})")
+    steps.append(f"SELECT o_orderkey, {mul('xor(h, h >> 16)', 2246822507)} AS h FROM ({steps[-1]})")
+    steps.append(f"SELECT o_orderkey, {mul('xor(h, h >> 13)', 3266489909)} AS h FROM ({steps[-1]})")
+    return f"SELECT o_orderkey, xor(h, h >> 16) % {buckets} AS bucket FROM ({steps[-1]})"
+
+
+@query(_murmur_sql(42, 64))
 def hash_murmur_buckets(spark, d):
     return _hashed(spark, d, lambda k: hash_murmur(k, 64))
 
 
+@query(_murmur_sql(7, 64))
+def hash_murmur_seeded(spark, d):
+    return _hashed(spark, d, lambda k: hash_murmur(k, 64, seed=7))
+
+
 @query("SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS rn FROM orders")
 def sort_asc(spark, d):
     return ordering.row_numbers(read_table(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"])

@@ -33,7 +33,7 @@ def main(argv: list[str] | None = None) -> int:
         write_report(a.report, found)
     else:
         for m in found:
-            print(f"{m.operator} {m.strategy} rows={m.rows} seconds={m.seconds:.4f} valid={m.valid}")
+            print(f"{m.operator} {m.strategy} rows={m.rows} seconds={m.seconds:.4f} executor={m.executor_seconds:.4f} build={m.build_seconds:.4f} probe={m.probe_seconds:.4f} group={m.group_seconds:.4f} reduce={m.reduce_seconds:.4f} valid={m.valid}")
     return int(not all(m.valid for m in found))
 
 

@@ -23,9 +23,33 @@ def hash_universal(key: Column, a: int, b: int, p: int, n: int) -> Column:
     return F.pmod(F.pmod(F.lit(a) * F.pmod(_long(key), F.lit(p)) + F.lit(b), F.lit(p)), F.lit(n))
 
 
-def hash_murmur(key: Column, n: int) -> Column:
-    """Spark's own Murmur3, made a bucket number."""
-    return F.pmod(F.hash(_long(key)), F.lit(n)).cast("long")
+def _mul32(a: Column, b: int) -> Column:
+    """a * b mod 2**32 for 0 <= a < 2**32, by halves, so that no product leaves bigint."""
+    return ((((a * F.lit(b >> 16)) % F.lit(1 << 16)) * F.lit(1 << 16)) + a * F.lit(b & 0xFFFF)) % F.lit(1 << 32)
+
+
+def _rotl32(a: Column, n: int) -> Column:
+    return F.shiftleft(a, n).bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.shiftright(a, 32 - n))
+
+
+def murmur3(key: Column, seed: int = 42) -> Column:
+    """Murmur3_x86_32 of the key's eight bytes, least first, as an unsigned number. With Spark's own seed its built-in
+    hash gives it."""
+    if seed == 42:
+        return F.pmod(F.hash(_long(key)).cast("long"), F.lit(1 << 32))
+    h = F.lit(seed % (1 << 32)).cast("long")
+    low = _long(key).bitwiseAND(F.lit(0xFFFFFFFF))
+    for word in (low, F.shiftrightunsigned(_long(key), 32)):
+        k = _mul32(_rotl32(_mul32(word, 0xCC9E2D51), 15), 0x1B873593)
+        h = (_mul32(_rotl32(h.bitwiseXOR(k), 13), 5) + F.lit(0xE6546B64)) % F.lit(1 << 32)
+    h = h.bitwiseXOR(F.lit(8))
+    h = _mul32(h.bitwiseXOR(F.shiftright(h, 16)), 0x85EBCA6B)
+    h = _mul32(h.bitwiseXOR(F.shiftright(h, 13)), 0xC2B2AE35)
+    return h.bitwiseXOR(F.shiftright(h, 16))
+
+
+def hash_murmur(key: Column, n: int, seed: int = 42) -> Column:
+    return F.pmod(murmur3(key, seed), F.lit(n))
 
 
 def hash_polynomial(key: Column, n: int, p: int, digits: int = 10) -> Column:

@@ -12,10 +12,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grainmill import plans
 from grainmill.operators import aggregate, join, membership, ordering, project, scan
 from grainmill.sources import append_csv, constant_column, random_ints, unique_ints
 
 
+PHASES = ("executor", "build", "probe", "group", "reduce")
+
+
 @dataclass
 class RunConfig:
     operator: str
@@ -37,6 +41,11 @@ class Measurement:
     iteration: int
     seconds: float
     valid: bool
+    executor_seconds: float = 0.0
+    build_seconds: float = 0.0
+    probe_seconds: float = 0.0
+    group_seconds: float = 0.0
+    reduce_seconds: float = 0.0
 
 
 @dataclass(frozen=True)
@@ -133,7 +142,7 @@ OPERATORS: dict[str, Operator] = {
 
 
 def measure(spark: SparkSession, config: RunConfig, check_up_to: int = 100_000) -> list[Measurement]:
-    """Times the whole execution (a noop write) after inputs are cached; results of up to `check_up_to` rows are
+    """Times the whole execution (a noop write) after inputs are cached, and its phases (see plans.phases); results of up to `check_up_to` rows are
     compared with the plain computation. bytes counts eight per value of the first input's key or value column."""
     if config.operator not in OPERATORS:
         raise ValueError(f"unknown operator {config.operator}; known: {', '.join(sorted(OPERATORS))}")
@@ -144,15 +153,19 @@ def measure(spark: SparkSession, config: RunConfig, check_up_to: int = 100_000)
             for f in frames:
                 f.count()
             for k in range(config.iterations):
-                result = op.build(frames, config)
-                began = time.perf_counter()
-                result.write.format("noop").mode("overwrite").save()
-                took = time.perf_counter() - began
-                valid = True
+                result, took = op.build(frames, config), 0.0
+
+                def run(result: DataFrame = result) -> None:
+                    nonlocal took
+                    began = time.perf_counter()
+                    result.write.format("noop").mode("overwrite").save()
+                    took = time.perf_counter() - began
+
+                spent, valid = plans.phases(spark, run), True
                 if n <= check_up_to:
                     got = Counter(tuple(r) for r in result.collect())
                     valid = got == op.expected([[r.asDict() for r in f.collect()] for f in frames], config)
-                out.append(Measurement(config.operator, config.strategy or "planned", n, 8 * n, k, took, valid))
+                out.append(Measurement(config.operator, config.strategy or "planned", n, 8 * n, k, took, valid, *[round(spent[p], 4) for p in PHASES]))
         finally:
             for f in frames:
                 f.unpersist()

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grainmill.operators.ordering import fresh
+
 WRAP = 1 << 32
 
 
@@ -21,10 +23,12 @@ def group_sum(df: DataFrame, key: str, value: str, name: str = "s") -> DataFrame
 
 
 def group_sum_two_phase(df: DataFrame, key: str, value: str, executors: int = 1024, name: str = "s") -> DataFrame:
-    """Private sums of `executors` slices of each key's rows, then their merge: a hot key is dealt over the slices."""
-    slices = df.withColumn("_slice", F.pmod(F.monotonically_increasing_id(), F.lit(executors)))
-    local = slices.groupBy(key, "_slice").agg(F.sum(F.col(value).cast("long")).alias("_part"))
-    return local.groupBy(key).agg(F.sum("_part").alias(name))
+    """Private sums of `executors` slices of each key's rows, then their merge: a hot key is dealt over the slices. The
+    second exchange is the price; `group_sum`, whose partial sums tame hot keys as well, is the one to use by default."""
+    slice_, part = fresh(df, "slice", "part")
+    slices = df.withColumn(slice_, F.pmod(F.monotonically_increasing_id(), F.lit(executors)))
+    local = slices.groupBy(key, slice_).agg(F.sum(F.col(value).cast("long")).alias(part))
+    return local.groupBy(key).agg(F.sum(part).alias(name))
 
 
 def group_sum_dense(df: DataFrame, key: str, value: Column, groups: int, name: str = "s") -> DataFrame:

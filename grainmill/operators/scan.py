@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grainmill.operators.ordering import prefix_sum
+
 
 def scan_less_than(df: DataFrame, column: str, threshold: float = 5) -> DataFrame:
     """Rows below the threshold; the comparison reaches the scan. Nulls are not below anything."""
@@ -12,8 +14,7 @@ def scan_less_than(df: DataFrame, column: str, threshold: float = 5) -> DataFram
 
 
 def compaction_offsets(df: DataFrame, chunk: Column, keep: Column) -> DataFrame:
-    """chunk, n, first: survivors of each chunk and where they start when chunks are written in order. Only counts,
-    one row per chunk, are ordered globally."""
+    """chunk, n, first: survivors of each chunk and where they start when chunks are written in order. The counts, one
+    row per chunk, are ordered by buckets, so no task gathers all of them."""
     counts = df.groupBy(chunk.alias("chunk")).agg(F.count(F.when(keep, 1)).alias("n"))
-    before = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long"))
+    return prefix_sum(counts, "chunk", "n", "first")

@@ -7,8 +7,9 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-COLUMNS = ["operator", "strategy", "rows", "bytes", "iteration", "seconds", "valid"]
-SCHEMA = "operator string, strategy string, rows long, bytes long, iteration int, seconds double, valid boolean"
+PHASES = ["executor_seconds", "build_seconds", "probe_seconds", "group_seconds", "reduce_seconds"]
+COLUMNS = ["operator", "strategy", "rows", "bytes", "iteration", "seconds", "valid", *PHASES]
+SCHEMA = "operator string, strategy string, rows long, bytes long, iteration int, seconds double, valid boolean, " + ", ".join(f"{p} double" for p in PHASES)
 
 
 def append_csv(path: str, rows: list[dict]) -> None:

@@ -21,7 +21,7 @@ def test_report_file_has_one_header(spark, tmp_path):
         write_report(path, measure(spark, RunConfig("reduce", sizes=[10], iterations=2)))
     rows = list(csv.DictReader(open(path)))
     assert len(rows) == 4 and {r["rows"] for r in rows} == {"10"} and {r["bytes"] for r in rows} == {"80"}
-    assert read_csv(spark, path).where("valid").count() == 4
+    assert read_csv(spark, path).where("valid AND executor_seconds > 0").count() == 4
 
 
 def test_unknown_operators(spark, capsys):
@@ -35,7 +35,10 @@ def test_generators_are_seeded(spark):
     a, b = (sorted(map(tuple, random_ints(spark, 500, 1, 50, 3).collect())) for _ in range(2))
     assert a == b and {x for _, x in a} <= set(range(1, 51))
     keys = [r["k"] for r in unique_ints(spark, 300, 1, "k").orderBy("row_id").collect()]
-    assert keys == sorted(set(keys)) and 0 <= keys[0] and keys[-1] < 3000
+    assert len(keys) == 300 and keys == sorted(set(keys)) and 0 <= keys[0] and keys[-1] < 3000
+    decades = Counter(k // 10 for k in keys)
+    assert max(decades.values()) > 1 and len(decades) < 260  # not one for each decade
+    assert [unique_ints(spark, n, 4).count() for n in (0, 1, 2, 7)] == [0, 1, 2, 7]
     assert {r["x"] for r in random_bits(spark, 200).collect()} == {0, 1}
     assert [r["x"] for r in ramp(spark, 5).orderBy("row_id").collect()] == [0, 1, 2, 3, 4]
     assert [r["x"] for r in constant_column(spark, 2, -1).collect()] == [-1, -1]

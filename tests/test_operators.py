@@ -1,22 +1,31 @@
 """Fixed fixtures, edge cases and seeded random inputs against plain Python."""
 
+import itertools
 import random
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from grainmill.functions import hash_mod, hash_offset, hash_polynomial, hash_universal, slab_buckets
+from grainmill.functions import hash_mod, hash_offset, hash_polynomial, hash_universal, murmur3, slab_buckets
 from grainmill.operators import aggregate, join, membership, ordering, project, report, scan
 
 MAX32 = 2**32 - 1
 
-JOIN_A = list(zip([1, 2, 3, 4, 5, 5, 7], [5, 1, 4, 6, 6, 5, 0], strict=True))
-JOIN_B = list(zip([6, 2, 3, 4, 5, 5, 7], [3, 2, 1, 1, 3, 8, 8], strict=True))
-JOINED = [(2, 1, 2), (3, 4, 1), (4, 6, 1), (5, 6, 3), (5, 6, 8), (5, 5, 3), (5, 5, 8), (7, 0, 8)]
-GROUP_KEYS = [0, 1, 2, 0, 3, 4, 0, 5, 0, 1, 8, 7, 2, 4, 5, 7, 1, 2, 4, 6, 2, 4, 1, 4, 6, 2, 4, 6, 8, 1, 8, 8, 8, 8, 8, 8, 8, 8, 8, 1, 1, 2, 3, 4, 5, 6, 7, 8, 0, 0]
-GROUP_VALUES = [12, 19, 1, 4, 30, 21, 3, 8, 6, 19, 1, 1, 2, 0, 4, 4, 0, 5, 0, 1, 0, 1, 2, 0, 3, 4, 0, 5, 0, 1, 1, 3, 1, 3, 1, 0, 23, 11, 0, 1, 33, 91, 12, 321, 12, 9, 99, 65, 7, 4]
-GROUP_SUMS = [36, 75, 103, 42, 343, 24, 18, 104, 109]
+
+
+def pairs(seed, n, keys, values):
+    """Seeded (key, value) rows; few keys, so many have duplicates."""
+    r = random.Random(seed)
+    return [(r.randint(0, keys), r.randint(0, values)) for _ in range(n)]
+
+
+JOIN_A, JOIN_B = pairs(11, 9, 8, 9), pairs(12, 9, 8, 9)
+JOINED = [(k, v, w) for k, v in JOIN_A for m, w in JOIN_B if k == m]
+GROUPED = pairs(13, 60, 8, 100)
+SUMS = Counter()
+for _k, _v in GROUPED:
+    SUMS[_k] += _v
 
 
 def frame(spark, rows, schema):
@@ -74,13 +83,15 @@ def test_membership_with_misses_and_extreme_keys(spark):
 
 
 def test_group_sum_fixture_in_all_variants(spark):
-    df = frame(spark, list(zip(GROUP_KEYS, GROUP_VALUES, strict=True)), "k long, v int")
-    want = Counter(enumerate(GROUP_SUMS))
+    df = frame(spark, GROUPED, "k long, v int")
+    want = Counter(SUMS.items())
     assert bag(aggregate.group_sum(df, "k", "v")) == want
     assert bag(aggregate.group_sum_two_phase(df, "k", "v", 7)) == want
     assert bag(aggregate.upsert_add(df, "k", "v")) == want
     dense = aggregate.group_sum_dense(df, "k", F.col("v"), 12)
-    assert bag(dense) == Counter([*enumerate(GROUP_SUMS), (9, 0), (10, 0), (11, 0)])
+    assert bag(dense) == Counter((k, SUMS[k]) for k in range(12))
+    clashing = df.withColumn("slice", F.lit(1)).withColumn("part", F.lit(2))
+    assert bag(aggregate.group_sum_two_phase(clashing, "slice", "v", 3)) == Counter([(1, sum(SUMS.values()))])
 
 
 def test_sums_widen_and_wrap(spark):
@@ -110,13 +121,26 @@ def test_sort_and_row_numbers(spark, n):
     assert sorted(x["rn"] for x in ordering.row_numbers(df, ["x", "id"], buckets=8).collect()) == list(range(1, n + 1))
 
 
-def test_prefix_sum_fixture(spark):
-    values = [0, 1, 1, 0, 0, 1, 1]
+def test_row_numbers_of_strings_nulls_and_clashing_names(spark):
+    r = random.Random(3)
+    rows = [(r.choice([None, "", "a", "é", "zz"]), i, i) for i in range(300)]
+    df = frame(spark, rows, "bucket string, inside long, found long")
+    got = [(x["bucket"], x["inside"]) for x in sorted(ordering.row_numbers(df, ["bucket", "inside"], buckets=5).collect(), key=lambda x: x["rn"])]
+    assert got == sorted(((a, b) for a, b, _ in rows), key=lambda x: (x[0] is not None, (x[0] or "").encode(), x[1]))
+    frequent = frame(spark, [("same", i) for i in range(500)], "x string, id long")
+    parts = ordering._in_buckets(frequent, ["x", "id"], 10, "b").groupBy("b").count().collect()
+    assert len(parts) == 10 and max(p["count"] for p in parts) < 200  # one value is cut by the next key
+
+
+def test_prefix_sum(spark):
+    values = [v for _, v in pairs(5, 40, 1, 3)]
     df = frame(spark, list(enumerate(values)), "i long, v long")
+    before = list(itertools.accumulate(values, initial=0))
     got = ordering.prefix_sum(df, "i", "v", buckets=3)
-    assert [r["before"] for r in sorted(got.collect(), key=lambda r: r["i"])] == [0, 0, 1, 2, 2, 2, 3]
+    assert [r["before"] for r in sorted(got.collect(), key=lambda r: r["i"])] == before[:-1]
     got = ordering.prefix_sum(df, "i", "v", buckets=3, inclusive=True, initial=10)
-    assert [r["before"] for r in sorted(got.collect(), key=lambda r: r["i"])] == [10, 11, 12, 12, 12, 13, 14]
+    assert [r["before"] for r in sorted(got.collect(), key=lambda r: r["i"])] == [10 + b for b in before[1:]]
+    assert ordering.prefix_sum(df.limit(0), "i", "v").count() == 0
 
 
 def test_scan_keeps_the_tail(spark):
@@ -128,13 +152,26 @@ def test_scan_keeps_the_tail(spark):
 
 
 def test_layout_round_trip(spark):
-    df = frame(spark, JOIN_A, "k long, va long")
-    assert bag(project.to_columns(project.to_rows(df))) == Counter(JOIN_A)
-    assert bag(project.constant(df.select("k"))) == Counter((k, 42) for k, _ in JOIN_A)
+    df = frame(spark, [*JOIN_A, (3, None)], "k long, va long")
+    columns = project.to_columns(project.to_rows(df, F.col("k") % 2), ["k", "va"])
+    assert all(len(r["k"]) == len(r["va"]) for r in columns.collect()) and columns.count() == 2
+    assert bag(project.flat(columns, ["k", "va"])) == Counter([*JOIN_A, (3, None)])
+    assert bag(project.constant(df.select("k"))) == Counter((k, 42) for k, _ in [*JOIN_A, (3, None)])
     zipped = spark.range(1).select(project.zip_columns(F.array(F.lit(1), F.lit(2)).alias("a"), F.array(F.lit(3), F.lit(4)).alias("b")).alias("z")).first()["z"]
     assert [tuple(x) for x in zipped] == [(1, 3), (2, 4)]
 
 
+def _murmur(key, seed):
+    rotl = lambda a, n: (a << n | a >> 32 - n) & MAX32
+    h = seed
+    for word in (key & MAX32, key >> 32):
+        h = (rotl(h ^ rotl(word * 0xCC9E2D51 & MAX32, 15) * 0x1B873593 & MAX32, 13) * 5 + 0xE6546B64) & MAX32
+    h ^= 8
+    h = (h ^ h >> 16) * 0x85EBCA6B & MAX32
+    h = (h ^ h >> 13) * 0xC2B2AE35 & MAX32
+    return h ^ h >> 16
+
+
 def test_hash_functions(spark):
     keys = [0, 1, 9, 10, 12345, MAX32]
     df = frame(spark, [(k,) for k in keys], "k long")
@@ -144,6 +181,9 @@ def test_hash_functions(spark):
         x = row[0]
         digits = [int(c) for c in reversed(str(x))]
         assert tuple(row)[1:] == (x % 7, (x % 7 + 3) % 7, ((242792921 * x + 653019598) % 2147483647) % 100, sum(d * 7 ** (i + 1) for i, d in enumerate(digits)) % 1009)
+    seeded = [r[0] for r in df.select(murmur3(k, 42), murmur3(k, 1)).collect()]
+    assert seeded == [r[0] % (1 << 32) for r in df.select(F.hash("k")).collect()]
+    assert [r[0] for r in df.select(murmur3(k, 2)).collect()] == [_murmur(x, 2) for x in keys] and seeded == [_murmur(x, 42) for x in keys]
     assert slab_buckets(1000, 60) == 50 and slab_buckets(1000, 99) == 31 and slab_buckets(640, 50) == 36
 
 
@@ -151,3 +191,10 @@ def test_trimmed_mean_drops_all_ties(spark):
     df = frame(spark, [(1, "a", 5), (1, "a", 9), (1, "a", 9), (1, "a", 1), (1, "b", 2), (2, "a", 4), (2, "a", 6)], "size long, device string, t long")
     got = report.trimmed_mean(df, "size", "device", "t", ["a", "b"])
     assert bag(got) == Counter([(1, 3.0, None), (2, 4.0, None)])
+    rows = [(i % 3, "ab"[i % 2], v) for i, (_, v) in enumerate(pairs(8, 200, 1, 12))] + [(7, "a", None)]
+    got = {r["size"]: r for r in report.trimmed_mean(frame(spark, rows, "size long, device string, t long"), "size", "device", "t", ["a", "b"]).collect()}
+    assert sorted(got) == [0, 1, 2]
+    for size, device in itertools.product(range(3), "ab"):
+        own = [t for s, d, t in rows if (s, d) == (size, device)]
+        rest = [t for t in own if t != max(own)]
+        assert abs(got[size][device] - sum(rest) / len(rest)) < 1e-9
