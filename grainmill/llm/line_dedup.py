@@ -27,7 +27,7 @@ from grainmill.llm._common import stored, table
 
 BROADCAST_BYTES = 8 << 20
 SALTS = 32
-RATIO, LEAST = 0.1, 3
+RATIO, LEAST = 0.05, 3
 SPACE = " \t\r\f\x0b"
 
 
