@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainmill import sources
-from grainmill.functions import hash_mod, hash_murmur, hash_offset, hash_polynomial, hash_universal
+from grainmill.functions import hash_mod, hash_murmur, hash_offset, hash_polynomial, hash_universal, slab_buckets_of
 from grainmill.operators import aggregate, join, membership, ordering, project, report, scan
 from grainmill.sources import read_table
 
@@ -220,6 +220,18 @@ def build_multiset(spark, d):
     return membership.build_multiset(read_table(spark, d, "lineitem").select("l_partkey"), "l_partkey").groupBy("l_partkey").agg(F.count("*").alias("n"))
 
 
+@query("(SELECT l_orderkey % 100 AS k FROM lineitem EXCEPT ALL SELECT o_orderkey % 100 FROM orders) UNION ALL (SELECT o_orderkey % 100 FROM orders EXCEPT ALL SELECT l_orderkey % 100 FROM lineitem)")
+def bag_difference(spark, d):
+    items = read_table(spark, d, "lineitem").select((F.col("l_orderkey") % 100).alias("k"))
+    return join.bag_difference(items, read_table(spark, d, "orders").select((F.col("o_orderkey") % 100).alias("k")))
+
+
+@query("SELECT o_orderkey AS n, CAST(floor(o_orderkey / (32 * 0.625)) AS BIGINT) AS buckets FROM orders")
+def slab_bucket_counts(spark, d):
+    """Buckets that n keys need, for many n."""
+    return read_table(spark, d, "orders").select(F.col("o_orderkey").alias("n"), slab_buckets_of(F.col("o_orderkey"), 60).alias("buckets"))
+
+
 def _hashed(spark, d, f):
     return read_table(spark, d, "orders").select("o_orderkey", f(F.col("o_orderkey")).alias("bucket"))
 

@@ -68,3 +68,8 @@ LOAD_FACTORS = {20: 0.2, 30: 0.3, 40: 0.4, 50: 0.55, 60: 0.625, 70: 0.875, 80: 1
 def slab_buckets(n: int, utilisation: int = 60) -> int:
     """Number of buckets for n keys in chains of 32-slot nodes."""
     return int(n / (32 * LOAD_FACTORS.get(utilisation, 1.0)))
+
+
+def slab_buckets_of(n: Column, utilisation: int = 60) -> Column:
+    """slab_buckets of a column."""
+    return F.floor(n / F.lit(32 * LOAD_FACTORS.get(utilisation, 1.0))).cast("long")

@@ -46,6 +46,11 @@ def one_to_many_ids(probe: DataFrame, build: DataFrame, key: str, build_id: str,
     return probe.join(grouped, key, "left").withColumn(name, F.coalesce(name, F.array().cast(f"array<{build.schema[build_id].dataType.simpleString()}>")))
 
 
+def bag_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The rows that one frame holds more often than the other, as often as it does; none if they are equal as bags."""
+    return a.exceptAll(b).unionAll(b.exceptAll(a))
+
+
 def same_bag(a: DataFrame, b: DataFrame) -> bool:
     """Whether two frames hold the same rows equally often, in any order."""
-    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    return bag_difference(a, b).isEmpty()
