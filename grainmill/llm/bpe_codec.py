@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainmill.llm._bpe import SPACES, WordEncoder
-from grainmill.llm._common import WORKER_STATE, beside, table
+from grainmill.llm._common import WORKER_STATE, beside, spread, table
 
 _GEAR = np.random.default_rng(20).integers(0, 1 << 32, 256, dtype=np.uint32)
 WINDOW = 8
@@ -224,4 +224,4 @@ def encode_frame(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_frame(table(spark, sf_dir, "documents"), digests=True)
+    return encode_frame(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), digests=True)

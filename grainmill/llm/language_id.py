@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.llm._common import beside, table
+from grainmill.llm._common import beside, spread, table
 from grainmill.llm._text import by_size, code_points, letters
 
 BUCKETS = 1 << 16
@@ -208,6 +208,6 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = F.crc32(F.col("doc_id").cast("string")) % 4
-    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(rest == 2, F.lit(False)))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).withColumn("held_out", F.coalesce(rest == 2, F.lit(False)))
     model = fit(docs.where(rest != 2))  # a null id is not learned from
     return predict(docs, model, keep=["doc_id", "held_out"]).select("row.*", "lang_pred", "score", "n_spans")

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from grainmill.llm._common import beside, discard, small, stored, table
+from grainmill.llm._common import beside, discard, small, spread, stored, table
 from grainmill.llm._shingles import fingerprints, keys_of, mix, shingle_sets
 from grainmill.llm.components import components
 from grainmill.llm.signature_tree import Union, bitmap, candidates
@@ -187,8 +187,11 @@ def deal(members: DataFrame, weight, limit: int) -> DataFrame:
     unit is within it. weight: bytes of a set of a size class. Blocks are runs of size classes; a class beyond the limit is cut by hash."""
     c = F.col("fp").bitwiseAND(255)
     counts = members.groupBy("unit", c.alias("c")).agg(F.count("*").alias("n")).withColumn("w", F.col("n") * weight(F.col("c")))
-    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    limit = min(limit, max(LEAST_BYTES, (members.agg(F.sum(weight(c))).first()[0] or 0) / tasks))
+    total, most = counts.groupBy("unit").agg(F.sum("w").alias("w")).agg(F.sum("w"), F.max("w")).first()
+    limit = min(limit, max(LEAST_BYTES, (total or 0) / int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    if (most or 0) <= limit:
+        place = {name: F.lit(-1).cast("long") for name in ("i", "j", "block")}
+        return members.withColumns(place).select("unit", "i", "j", "block", "fp")
     whole, upto = Window.partitionBy("unit"), Window.partitionBy("unit").orderBy("c")  # 256 rows of a unit at most
     near = Window.partitionBy("unit").orderBy("c").rangeBetween(-CLASS_REACH, CLASS_REACH)
     cut = counts.withColumn("total", F.sum("w").over(whole)).where(F.col("total") > limit).withColumn("end", F.sum("w").over(upto))
@@ -381,4 +384,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return near_duplicates(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "n_shingles", "component_id")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainmill.llm._bpe import WordEncoder
-from grainmill.llm._common import WORKER_STATE, beside, table
+from grainmill.llm._common import WORKER_STATE, beside, spread, table
 
 END_ID = 1
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
@@ -151,4 +151,4 @@ def pack_frame(docs: DataFrame, tokenizer: str | None = None, window: int = 2048
 
 
 def op8_multi_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_frame(table(spark, sf_dir, "documents"))
+    return pack_frame(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.llm._common import WORKER_STATE, beside, table
+from grainmill.llm._common import WORKER_STATE, beside, spread, table
 from grainmill.llm._text import by_size, code_points
 
 SAMPLE_POSITIVE, SAMPLE_NEGATIVE = 1500, 4500
@@ -446,7 +446,7 @@ def score(docs: DataFrame, lex: Lexicon, text: str = "text", keep: list[str] | N
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     learn = lambda df: df.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     lex = fit(learn(docs), learn(table(spark, sf_dir, "labels")))
     held_out = F.coalesce(F.crc32(F.col("row.doc_id").cast("string")) % 5 == 0, F.lit(False))
     return score(docs, lex, keep=["doc_id"]).select("row.doc_id", held_out.alias("held_out"), "score", "predicted", "n_hits")

@@ -162,6 +162,34 @@ def test_bounds_never_lose_a_link():
     assert {p for p in linked if sides[p[0]] != sides[p[1]]} <= across
 
 
+def test_trees_prune_a_whole_table(monkeypatch):
+    """All distinct sets of a table as one block: traversal over several levels leaves few pairs to compare bit by bit,
+    and hardly more candidates than links."""
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
+    sets = [s for s in {s.tobytes(): s for s in shingle_sets([(t or "").encode() for t in texts])}.values() if len(s)]
+    met, depth, plain = [], [], signature_tree._possible
+
+    def possible(a, b):
+        found = plain(a, b)
+        met.append((found, bool(a.below or b.below), (a.last - a.first) * (b.last - b.first)))
+        return found
+
+    def built(self, *args, make=signature_tree.Tree.__init__):
+        make(self, *args)
+        node, levels = self.root, 1
+        while node.below:
+            node, levels = node.below[0], levels + 1
+        depth.append(levels)
+
+    monkeypatch.setattr(signature_tree, "_possible", possible)
+    monkeypatch.setattr(signature_tree.Tree, "__init__", built)
+    found = list(signature_tree.candidates([signature_tree.bitmap(s) for s in sets], [0] * len(sets), [len(s) for s in sets]))
+    pairs = len(sets) * (len(sets) - 1) // 2
+    compared = sum(n for ok, inner, n in met if ok and not inner)
+    links = sum(9 * len(np.intersect1d(sets[a], sets[b])) >= 4 * (len(sets[a]) + len(sets[b])) for a, b in found)
+    assert max(depth) >= 3 and any(not ok for ok, _, _ in met) and compared < 0.35 * pairs and len(found) <= 20 * links + 50
+
+
 @pytest.mark.parametrize("few", [components_module.FEW_EDGES, -1])
 def test_components_against_union_find(spark, few, monkeypatch):
     monkeypatch.setattr(components_module, "FEW_EDGES", few)  # -1: hubs by broadcast
