@@ -6,10 +6,12 @@ the smallest tier that holds it. Each task packs a bounded buffer at a time: a w
 of that tier and its gap is filled from shorter tiers, first with the longest whole document that fits, then, when
 none fits, with a piece cut from a shorter one. Windows are thus exactly full, and a full window of any tier needs
 no padding. What remains of a buffer is carried into the next; the last tail of a task is cut at powers of two.
-Sequences go to step groups of equal token budgets.
+Sequences go to step groups of GROUP_TOKENS; groups that tasks leave open are dealt anew over all tasks: in descending
+order of size, powers of two fill every group but one exactly.
 
-Packing is local to each task: only the input partition is read, nothing is shuffled, no task holds more than the
-buffer, and a lost task is run again with the same result. Null text counts as empty (one end id); equal rows are
+Packing is local to each task: only the input partition is read, no text is shuffled, no task holds more than the
+buffer, and a lost task is run again with the same result. What balancing moves are the few sequences of open groups.
+Null text counts as empty (one end id); equal rows are
 packed each for itself; an empty table gives no rows; other columns are not read.
 """
 
@@ -26,16 +28,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainmill.llm._bpe import WordEncoder
-from grainmill.llm._common import WORKER_STATE, beside, spread, table
+from grainmill.llm._common import WORKER_STATE, beside, small, spread, stored, table
+from grainmill.operators.ordering import prefix_sum
 
-END_ID = 1
+END_ID, GROUP_TOKENS = 1, 32_768
+BROADCAST_BYTES = 16 << 20
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
 class Packer:
     """Packs (doc_id, packed ids) into full windows; `pieces` holds finished rows until they are taken."""
 
-    def __init__(self, base: int, window: int = 2048, smallest: int = 256, buffer_docs: int = 2048, group_tokens: int = 32768) -> None:
+    def __init__(self, base: int, window: int = 2048, smallest: int = 256, buffer_docs: int = 2048, group_tokens: int = GROUP_TOKENS) -> None:
         self.base, self.window, self.buffer_docs, self.group_tokens = base, window, buffer_docs, group_tokens
         self.tiers = [t for t in (1 << k for k in range(32)) if smallest <= t <= window]
         self.pool: list[tuple[int, int, tuple]] = []  # (length, serial, (doc_id, ids, start)), by length
@@ -150,5 +154,19 @@ def pack_frame(docs: DataFrame, tokenizer: str | None = None, window: int = 2048
     return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, schema)
 
 
+def balance_groups(pieces: DataFrame, group_tokens: int = GROUP_TOKENS) -> DataFrame:
+    """The pieces, which should be stored, with the sequences of groups below the budget in new groups (negative
+    numbers), all of them full but the last. Sequences are powers of two in length."""
+    met = lambda df: F.broadcast(df) if small(df, BROADCAST_BYTES) else df
+    totals = pieces.groupBy("step_group").agg(F.sum("length").alias("tokens"))
+    left = stored(totals.where(F.col("tokens") < group_tokens).select("step_group"))
+    sequences = pieces.join(met(left), "step_group", "left_semi").groupBy("sequence_id").agg(F.sum("length").alias("tokens"))
+    ordered = stored(sequences.withColumn("order", F.struct(-F.col("tokens"), "sequence_id")))
+    placed = prefix_sum(ordered, "order", "tokens").select(F.col("sequence_id").alias("_sequence"), (-1 - F.floor(F.col("before") / group_tokens)).alias("_group"))
+    placed = stored(placed)
+    out = pieces.join(met(placed), F.col("sequence_id") == F.col("_sequence"), "left")
+    return out.withColumn("step_group", F.coalesce("_group", "step_group")).drop("_sequence", "_group")
+
+
 def op8_multi_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_frame(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return balance_groups(stored(pack_frame(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))))

@@ -179,6 +179,21 @@ def test_packing_cases(spark, library):
         assert got.schema["doc_id"].dataType == own.schema["doc_id"].dataType and got.where("start = 0").count() == 5
 
 
+@pytest.mark.parametrize("limit", [packing.BROADCAST_BYTES, -1])
+def test_groups_are_balanced_over_tasks(spark, sf_dir, limit, monkeypatch):
+    monkeypatch.setattr(packing, "BROADCAST_BYTES", limit)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").repartition(5)
+    pieces = packing.pack_frame(docs).persist()
+    got = packing.balance_groups(pieces)
+    totals = lambda df: sorted(r[0] for r in df.groupBy("step_group").agg(F.sum("length")).select("sum(length)").collect())
+    assert got.columns == pieces.columns and sum(totals(got)) == sum(totals(pieces))
+    assert len([t for t in totals(pieces) if t < packing.GROUP_TOKENS]) >= 5 and all(t == packing.GROUP_TOKENS for t in totals(got)[1:])
+    assert got.groupBy("sequence_id").agg(F.count_distinct("step_group").alias("n")).where("n > 1").isEmpty()
+    assert got.drop("step_group").exceptAll(pieces.drop("step_group")).isEmpty()
+    assert packing.balance_groups(pieces.limit(0)).count() == 0
+    pieces.unpersist()
+
+
 def test_packing_with_another_tokenizer(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
     check_pieces(packing.pack_frame(docs, tokenizer=BYTES).collect(), [(r["doc_id"], r["text"]) for r in docs.collect()], Tokenizer.from_file(BYTES))
