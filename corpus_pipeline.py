@@ -37,8 +37,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the cleaned documents into windows; one row per piece."""
-    return packing.pack_frame(docs)
+    """Packs the cleaned documents into windows and step groups; one row per piece."""
+    return packing.balance_groups(stored(packing.pack_frame(docs)))
 
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_lines), ("ngram_join", drop_near_copies), ("secret_scan", mask_secrets), ("packing", pack)]
