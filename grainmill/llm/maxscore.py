@@ -164,6 +164,8 @@ class Search:
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """INDEX rows from (dim, shard, id, v) sorted by shard and id: ids and vectors."""
     for shard, ids, x in by_key(batches):
+        if np.abs(x).max(initial=0) >= 1 << 63:
+            raise OverflowError("a component exceeds 64 bits")
         yield pa.RecordBatch.from_arrays([pa.array([x.shape[1]], pa.int32()), pa.array([shard]), pa.array([packed(ids.astype(np.int64), x.astype(np.int64))], pa.list_(pa.binary()))], ["dim", "shard", "arrays"])
 
 
