@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from grainmill.llm import _shards, hnsw, maxscore, ngram_join, registry, signature_tree
-from grainmill.llm._shingles import shingle_sets
+from grainmill.llm._shingles import keys_of, shingle_sets
 from grainmill.llm import components as components_module
 from grainmill.llm.components import components
 from tests.compare import differences
@@ -142,6 +142,31 @@ def test_keep_one_of_each_group_where_ids_repeat(spark, monkeypatch, ids):
     assert kept - worded == Counter(x for x in rows if not words_of(x[1])) and sum(worded.values()) == len(groups_of_rows(rows))
 
 
+def test_sets_that_link_share_a_key():
+    """At the very threshold, for all small sizes and borders between schemes, whichever tokens differ."""
+    rng, shared = np.random.default_rng(7), 0
+    for size in [*range(1, 90), 100, 127, 128, 129, 160, 255, 256, 319, 320, 511, 512, 640, 1023, 1279, 1280, 3000]:
+        for _ in range(6 if size > 200 else 12):
+            base = np.unique(rng.integers(0, 1 << 64, size, dtype=np.uint64))
+            least = (4 * size + 4) // 5
+            both = int(rng.integers(least, size + 1))  # size of the intersection
+            extra = int(rng.integers(0, max(0, 5 * both // 4 - size) + 1))
+            if rng.random() < 0.7:  # as far apart as a link allows
+                both, extra = (least, 0) if rng.random() < 0.5 else (size, 5 * size // 4 - size)
+            kept = rng.permutation(base)[:both] if rng.random() < 0.5 else base[:both]
+            other = np.unique(np.concatenate([kept, rng.integers(0, 1 << 64, extra, dtype=np.uint64)]))
+            if 9 * len(kept) < 4 * (len(base) + len(other)):
+                continue
+            keys, owner = keys_of([base, other])
+            assert np.intersect1d(keys[owner == 0], keys[owner == 1]).size, (size, both, extra)
+            shared += 1
+    assert shared > 800
+    a, b = (np.unique(rng.integers(0, 1 << 64, 400, dtype=np.uint64)) for _ in range(2))
+    passage = np.unique(rng.integers(0, 1 << 64, 100, dtype=np.uint64))
+    keys, owner = keys_of([np.union1d(a, passage), np.union1d(b, passage)])  # a fifth of each is shared
+    assert np.intersect1d(keys[owner == 0], keys[owner == 1]).size <= 3 and not (keys & np.uint64(1)).any()
+
+
 def test_bounds_never_lose_a_link():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)

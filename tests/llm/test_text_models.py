@@ -38,7 +38,7 @@ def test_viterbi_against_all_paths():
 
 def plain_label(text, model):
     """label() of one text with words by Viterbi alone."""
-    bucket, _, first, _, _, _ = language_id.trigrams([text])
+    bucket, _, first, *_ = language_id.trigrams([text])
     path = language_id.viterbi(np.add.reduceat(model.scores[bucket], first, axis=0).astype(float))
     share = np.bincount(path, weights=np.diff(np.append(first, len(bucket))), minlength=len(model.languages))
     return model.languages[share.argmax()], float(share.max() / share.sum()), 1 + int(np.count_nonzero(np.diff(path)))
