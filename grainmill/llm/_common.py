@@ -21,10 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """A table's scan, dealt to all cores where its files give fewer partitions than twice their number: a small table's
-    rows move so that a slow operator does not run on one core; a large table's never move."""
+    """A table's scan, dealt to all cores where its files give fewer partitions than there are: a small table's rows move
+    so that a slow operator does not run on one core; a large table's never move."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan._jdf.queryExecution().toRdd().getNumPartitions() < 2 * cores else scan
+    return scan.repartition(cores) if scan._jdf.queryExecution().toRdd().getNumPartitions() < cores else scan
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -43,7 +43,7 @@ def test_small_tables_are_spread(spark, sf_dir):
     docs = _common.table(spark, sf_dir, "documents")
     cores = spark.sparkContext.defaultParallelism
     assert _common.spread(docs).rdd.getNumPartitions() == cores and _common.spread(docs).count() == docs.count()
-    wide = spark.range(0, 100, 1, 2 * cores)
+    wide = spark.range(0, 100, 1, cores)
     assert _common.spread(wide) is wide
 
 
