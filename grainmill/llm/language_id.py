@@ -65,8 +65,8 @@ def _lower(text: str) -> str:
 
 def trigrams(texts: list[str]) -> tuple[np.ndarray, ...]:
     """Of the letters of all texts: bucket of the trigram around each; of the words: their script, first letter (as a
-    place among the letters), and text; first word of each text (one more at the end); code point of each letter in its
-    text."""
+    place among the letters), and text; first word of each text (one more at the end); code point of each letter, and of
+    each text's start, among those of all texts."""
     cp, at = code_points([_lower(t) for t in texts])
     is_letter = letters()[cp]
     masked = np.where(is_letter, cp, 0).astype(np.uint32)
@@ -80,7 +80,7 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, ...]:
     text_of = np.searchsorted(at, place[first], "right") - 1
     words = np.searchsorted(text_of, np.arange(len(texts) + 1))
     script = _SCRIPT[np.searchsorted(_STARTS, b[first], "right") - 1] if len(first) else np.zeros(0, np.int64)
-    return bucket, script, first, text_of, words, place - at[np.searchsorted(at, place, "right") - 1]
+    return bucket, script, first, text_of, words, place, at
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", order: str = "doc_id", rows: int = SAMPLE_ROWS) -> Model:
@@ -94,7 +94,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", order: str
         for batch in batches:
             names = batch.column(1).to_pylist()
             for at, texts in by_size(batch.column(0)):
-                bucket, script, first, _, words, _ = trigrams([t or "" for t in texts])
+                bucket, script, first, _, words, *_ = trigrams([t or "" for t in texts])
                 ends = np.append(first, len(bucket))[words]
                 for k, name in enumerate(names[at : at + len(texts)]):
                     own = found.setdefault(name, np.zeros(BUCKETS + len(SCRIPT_NAMES), np.int64))
@@ -152,7 +152,7 @@ def label(texts: list[str], model: Model, penalty: float = SWITCH, spans: bool =
     """(language, share of letters, number of spans) of each text; with spans, also their (start, end, language), in code
     points: from a span's first word to the end of its last."""
     out: list[tuple] = [("und", 0.0, 0, [])[: 3 + spans]] * len(texts)
-    bucket, script, first, _, words, place = trigrams(texts)
+    bucket, script, first, _, words, place, at = trigrams(texts)
     if not len(first) or not model.languages:
         return out
     scores = np.add.reduceat(model.scores[bucket & np.uint32(len(model.scores) - 1)], first, axis=0).astype(np.float64)
@@ -174,13 +174,17 @@ def label(texts: list[str], model: Model, penalty: float = SWITCH, spans: bool =
     most = np.maximum.reduceat(total + step - np.minimum.accumulate(before + step, axis=0), start, axis=0).max(1)
     for j, k in enumerate(full):
         a, b = words[k], words[k + 1]
-        path = np.full(b - a, best[j]) if most[j] < penalty / 2 else viterbi(scores[a:b], penalty)
+        plain = most[j] < penalty / 2
+        if plain and not spans:
+            out[k] = (model.languages[best[j]], 1.0, 1)
+            continue
+        path = np.full(b - a, best[j]) if plain else viterbi(scores[a:b], penalty)
         share = np.bincount(path, weights=size[a:b], minlength=len(model.languages))
         turns = np.flatnonzero(np.diff(path)) + 1
         out[k] = (model.languages[share.argmax()], float(share.max() / share.sum()), 1 + len(turns))
         if spans:
             begins, ends = np.append(0, turns), np.append(turns, b - a) - 1
-            out[k] += ([(int(place[first[a + x]]), int(place[last[a + y]]) + 1, model.languages[path[x]]) for x, y in zip(begins, ends, strict=True)],)
+            out[k] += ([(int(place[first[a + x]] - at[k]), int(place[last[a + y]] - at[k]) + 1, model.languages[path[x]]) for x, y in zip(begins, ends, strict=True)],)
     return out
 
 
