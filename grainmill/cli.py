@@ -1,4 +1,4 @@
-"""python -m grainmill.cli list | OPERATOR --size N [N ...] --iterations K [--strategy S] [--report FILE]"""
+"""python -m grainmill.cli list | OPERATOR --size N [N ...] --iterations K [--strategy S] [--report FILE] [--chart]"""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import sys
 
 from grainmill.harness import OPERATORS, RunConfig, measure, write_report
 from grainmill.operators.join import STRATEGIES
+from grainmill.operators.report import bar_chart, trimmed_mean
 from grainmill.session import local_session
 
 
@@ -19,6 +20,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--groups", type=int, default=64)
     p.add_argument("--executors", type=int, default=1024)
     p.add_argument("--seed", type=int, default=0)
+    p.add_argument("--chart", action="store_true", help="draw the trimmed mean seconds by number of rows")
     p.add_argument("--report", help="CSV file to append to; otherwise rows are printed")
     a = p.parse_args(argv)
     if a.operator == "list":
@@ -34,6 +36,10 @@ def main(argv: list[str] | None = None) -> int:
     else:
         for m in found:
             print(f"{m.operator} {m.strategy} rows={m.rows} seconds={m.seconds:.4f} executor={m.executor_seconds:.4f} build={m.build_seconds:.4f} probe={m.probe_seconds:.4f} group={m.group_seconds:.4f} reduce={m.reduce_seconds:.4f} valid={m.valid}")
+    if a.chart:
+        seconds = local_session().createDataFrame([(str(m.rows), m.strategy, m.seconds) for m in found], "rows string, strategy string, seconds double")
+        means = trimmed_mean(seconds, "strategy", "rows", "seconds", sorted({str(m.rows) for m in found})).drop("strategy").first()
+        print(bar_chart({k: None if means is None else means[k] for k in sorted({str(m.rows) for m in found})}))
     return int(not all(m.valid for m in found))
 
 

@@ -15,3 +15,11 @@ def trimmed_mean(df: DataFrame, rows: str, category: str, value: str, categories
     rest = groups.where(F.col("_all") > F.col("_top._n"))
     mean = (F.col("_s") - F.col("_top")[value] * F.col("_top._n")) / (F.col("_all") - F.col("_top._n"))
     return rest.groupBy(rows).pivot(category, categories).agg(F.first(mean))
+
+
+def bar_chart(means: dict[str, float], width: int = 40) -> str:
+    """One line for each category, its bar in proportion to the largest mean; categories without a mean have none."""
+    known = {k: v for k, v in means.items() if v is not None}
+    most = max(known.values(), default=0.0)
+    name = max(map(len, means), default=0)
+    return "\n".join(f"{k:<{name}} {'#' * round(width * known[k] / most) if k in known and most > 0 else '':<{width}} {f'{known[k]:.4g}' if k in known else '-'}" for k in sorted(means))

@@ -6,6 +6,7 @@ import pytest
 from grainmill import cli
 from grainmill.harness import OPERATORS, RunConfig, measure, random_seed, write_report
 from grainmill.operators import aggregate, scan
+from grainmill.operators.report import bar_chart
 from grainmill.sources import constant_column, ramp, random_bits, random_ints, read_csv, unique_ints
 
 
@@ -31,6 +32,14 @@ def test_unknown_operators(spark, capsys):
     assert "group_by" in capsys.readouterr().out
 
 
+def test_chart_of_trimmed_means(spark, capsys, monkeypatch):
+    monkeypatch.setattr(cli, "local_session", lambda: spark)
+    assert bar_chart({"cpu": 2.0, "gpu": 1.0, "none": None}, 4) == "cpu  #### 2\ngpu  ##   1\nnone      -"
+    assert cli.main(["reduce", "--size", "5", "60", "--iterations", "3", "--chart"]) == 0
+    lines = capsys.readouterr().out.splitlines()
+    assert [x.split()[0] for x in lines[-2:]] == ["5", "60"] and any("#" * 40 in x for x in lines[-2:])
+
+
 def test_generators_are_seeded(spark):
     a, b = (sorted(map(tuple, random_ints(spark, 500, 1, 50, 3).collect())) for _ in range(2))
     assert a == b and {x for _, x in a} <= set(range(1, 51))
