@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from grainmill.operators.ordering import fresh
+
 #: Our names for join strategies, and Spark's hints; None leaves the choice to the planner.
 STRATEGIES = {"broadcast": "broadcast", "shuffle_hash": "shuffle_hash", "merge": "merge", "nested_loop": "shuffle_replicate_nl"}
 
@@ -47,8 +49,13 @@ def one_to_many_ids(probe: DataFrame, build: DataFrame, key: str, build_id: str,
 
 
 def bag_difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    """The rows that one frame holds more often than the other, as often as it does; none if they are equal as bags."""
-    return a.exceptAll(b).unionAll(b.exceptAll(a))
+    """The rows that one frame holds more often than the other, as often as it does; none if they are equal as bags. One
+    sum over both: a union of two differences can lose its partitioning under adaptive execution (Spark 4.1)."""
+    n, k = fresh(a, "n", "k")
+    both = a.withColumn(n, F.lit(1)).unionAll(b.withColumn(n, F.lit(-1)))
+    columns = [F.col(f"`{c}`") for c in a.columns]
+    odd = both.groupBy(*columns).agg(F.sum(n).alias(n)).where(F.col(n) != 0)
+    return odd.withColumn(k, F.explode(F.sequence(F.lit(1).cast("long"), F.abs(n)))).select(*columns)
 
 
 def same_bag(a: DataFrame, b: DataFrame) -> bool:

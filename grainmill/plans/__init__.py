@@ -52,15 +52,19 @@ def phases(spark: SparkSession, run: Callable[[], None]) -> dict[str, float]:
         found = context.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
         return {(found.apply(k).stageId(), found.apply(k).attemptId()): found.apply(k).executorRunTime() for k in range(found.size())}
 
+    def last() -> list[int]:
+        """Numbers of the executions that Spark still holds; it drops old ones."""
+        found = executions.executionsList()
+        return [found.apply(k).executionId() for k in range(found.size())]
+
     context.listenerBus().waitUntilEmpty()
-    known, old = executions.executionsCount(), stages()
+    known, old = max(last(), default=-1), stages()
     run()
     context.listenerBus().waitUntilEmpty()
     out = dict.fromkeys(("executor", "build", "probe", "group", "reduce"), 0.0)
     out["executor"] = sum(ms for k, ms in stages().items() if k not in old) / 1000
     joins = False
-    for e in range(known, executions.executionsCount()):
-        number = executions.executionsList().apply(e).executionId()
+    for number in [e for e in last() if e > known]:
         values, nodes = executions.executionMetrics(number), executions.planGraph(number).allNodes()
         for k in range(nodes.size()):
             node = nodes.apply(k)
