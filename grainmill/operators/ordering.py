@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE = 20  # rows for each bucket
+FEW = 32  # buckets up to which every bound is compared in generated code
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -44,6 +45,10 @@ def _in_buckets(df: DataFrame, keys: list[str], buckets: int, name: str) -> Data
     coarse = F.filter("b", lambda x, i: (i + 1) % width == 0)
     fine = F.transform(F.sequence(F.lit(0), (F.size("b") / width).cast("int")), lambda i: F.slice("b", i * width + 1, F.lit(width)))
     found, part = fresh(df, "found", "part")
+    if buckets <= FEW:
+        out = df.withColumn(found, bounds.scalar())
+        below = [F.when(F.get(F.col(found), F.lit(i)) < key, 1).otherwise(0) for i in range(buckets - 1)]
+        return out.withColumn(name, sum(below, F.lit(0))).drop(found)
     out = df.withColumn(found, bounds.select(F.struct(coarse.alias("coarse"), fine.alias("fine"))).scalar())
     out = out.withColumn(part, F.size(F.filter(F.col(found)["coarse"], lambda b: b < key)))
     inside = F.size(F.filter(F.element_at(F.col(found)["fine"], F.col(part) + 1), lambda b: b < key))

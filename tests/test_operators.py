@@ -128,8 +128,11 @@ def test_row_numbers_of_strings_nulls_and_clashing_names(spark):
     got = [(x["bucket"], x["inside"]) for x in sorted(ordering.row_numbers(df, ["bucket", "inside"], buckets=5).collect(), key=lambda x: x["rn"])]
     assert got == sorted(((a, b) for a, b, _ in rows), key=lambda x: (x[0] is not None, (x[0] or "").encode(), x[1]))
     frequent = frame(spark, [("same", i) for i in range(500)], "x string, id long")
-    parts = ordering._in_buckets(frequent, ["x", "id"], 10, "b").groupBy("b").count().collect()
-    assert len(parts) == 10 and max(p["count"] for p in parts) < 200  # one value is cut by the next key
+    for buckets in (10, 50):
+        parts = ordering._in_buckets(frequent, ["x", "id"], buckets, "b").groupBy("b").count().collect()
+        assert len(parts) == buckets and max(p["count"] for p in parts) < 2000 / buckets  # one value is cut by the next key
+        many = ordering.row_numbers(df, ["bucket", "inside"], buckets=buckets).collect()
+        assert [(x["bucket"], x["inside"]) for x in sorted(many, key=lambda x: x["rn"])] == got
 
 
 def test_prefix_sum(spark):
