@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import shutil
 import tempfile
@@ -16,6 +17,19 @@ WORKER_STATE: dict = {}
 """Per-process caches of Python workers, keyed by operator; workers are reused between tasks."""
 
 
+#: Keys of what a worker keeps between tasks that takes more than a few MB.
+LARGE_STATES = ("packing", "codec")
+
+
+def drop_states(but: tuple = ()) -> None:
+    """Frees the large states that other operators left in this worker, which may be reused for any operator."""
+    old = [k for k in WORKER_STATE if k != but and isinstance(k, tuple) and k[0] in LARGE_STATES]
+    for k in old:
+        del WORKER_STATE[k]
+    if old:
+        gc.collect()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.llm._common import WORKER_STATE, beside, spread, table
+from grainmill.llm._common import WORKER_STATE, beside, drop_states, spread, table
 from grainmill.llm._text import by_size, code_points
 
 SAMPLE_POSITIVE, SAMPLE_NEGATIVE = 1500, 4500
@@ -427,13 +427,15 @@ def score(docs: DataFrame, lex: Lexicon, text: str = "text", keep: list[str] | N
     """row: a struct of the columns to keep (all, unless named); score, n_hits and predicted."""
     row = F.struct(*([F.col(f"`{c}`") for c in keep] if keep else ["*"])).alias("row")
     kind = docs.select(row).schema["row"].dataType
+    inside = kind.names.index(text) if kind.names.count(text) == 1 else None  # the text goes to the worker once
     shared = docs.sparkSession.sparkContext.broadcast(lex)  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_states()
         own = shared.value
         slope, offset = own.curve
         for batch in batches:
-            for at, texts in by_size(batch.column(1)):
+            for at, texts in by_size(batch.column(1) if inside is None else batch.column(0).field(inside)):
                 low = [(t or "").lower() for t in texts]
                 found = hits(low, own)
                 x = [evidence(t, h, own) for t, h in zip(low, found, strict=True)]
@@ -441,7 +443,8 @@ def score(docs: DataFrame, lex: Lexicon, text: str = "text", keep: list[str] | N
                 columns = [batch.column(0).slice(at, len(texts)), pa.array(x, pa.float64()), pa.array([len(h) for h in found], pa.int32()), pa.array([int(v >= 0.5) for v in x], pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, ["row", "score", "n_hits", "predicted"])
 
-    return docs.select(row, F.col(f"`{text}`").alias("text")).mapInArrow(run, beside(kind, "score double, n_hits int, predicted int"))
+    given = [row] if inside is not None else [row, F.col(f"`{text}`").alias("text")]
+    return docs.select(*given).mapInArrow(run, beside(kind, "score double, n_hits int, predicted int"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,3 +83,41 @@ def test_long_texts_cost_in_proportion(spark):
     for make, n in ((secrets, 1500), (lines, 3000)):
         once, twice = (fastest(lambda df=make(m): df.write.format("noop").mode("overwrite").save()) for m in (n, 2 * n))
         assert twice <= 2.6 * once + 0.5
+
+
+def test_large_states_of_other_operators_go():
+    from grainmill.llm import _common
+
+    kept = {("packing", None): object(), ("codec", "x"): object(), "letters": object()}
+    old = dict(_common.WORKER_STATE)
+    try:
+        _common.WORKER_STATE.clear()
+        _common.WORKER_STATE.update(kept)
+        _common.drop_states(but=("codec", "x"))
+        assert set(_common.WORKER_STATE) == {("codec", "x"), "letters"}
+        _common.drop_states()
+        assert set(_common.WORKER_STATE) == {"letters"}
+    finally:
+        _common.WORKER_STATE.clear()
+        _common.WORKER_STATE.update(old)
+
+
+@pytest.mark.parametrize("keep", [None, ["doc_id"], ["text", "a.b"]])
+def test_toxicity_sends_a_kept_text_once(spark, keep):
+    from grainmill.llm import toxicity
+
+    lex = toxicity.Lexicon(["idiot"], [5.0], curve=(1.0, -2.0), base=0.1)
+    rows = [(k, ["you idiot", "fine words", None, ""][k % 4], k) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int")
+    out = toxicity.score(docs, lex, keep=keep)
+    sent = out._jdf.queryExecution().analyzed().children().head().output().size()
+    assert sent == (2 if keep == ["doc_id"] else 1)
+    names = keep or docs.columns
+    got = {}
+    for r in out.collect():
+        own = r["row"].asDict()
+        assert list(own) == names
+        k = own.get("doc_id", own.get("a.b"))
+        assert own == {n: dict(zip(docs.columns, rows[k], strict=True))[n] for n in names}
+        got[k] = r["n_hits"]
+    assert got == {k: int(k % 4 == 0) for k in range(40)}
