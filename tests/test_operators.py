@@ -47,6 +47,28 @@ def test_nested_loop_join_fixture(spark):
     assert bag(join.nested_loop_join(a, b, "k", "k2").select("k", "va", "vb")) == Counter(JOINED)
 
 
+def test_nested_loop_join_compares_blocks_on_all_cores(spark):
+    b = spark.range(0, 5000, 1, 1).selectExpr("if(id < 4000, 0, id % 3) k2", "id DIV 2 vb")
+    parts = join.blocks(b, "k2", "k", "rows", 100)
+    assert parts.count() <= 53 and parts.agg(F.max(F.size("rows")), F.sum(F.size("rows"))).first() == (100, 5000)
+    out = join.nested_loop_join(spark.range(0, 40, 1, 1).selectExpr("id % 5 k", "id va"), b, "k", "k2")
+    assert out.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert out.columns == ["k", "va", "k2", "vb"]
+    want = Counter((i % 5, i, k, j // 2) for i in range(40) for j in range(5000) if (k := 0 if j < 4000 else j % 3) == i % 5)
+    assert bag(out) == want
+
+
+def test_nested_loop_join_of_odd_keys_and_names(spark):
+    nan = float("nan")
+    a = frame(spark, [(None, 1), (0.0, 2), (nan, 3), (2.0, 4), (2.0, 4)], "k double, block_key int")
+    b = frame(spark, [(None, {1: 1}), (-0.0, {1: 2}), (nan, None), (2.0, {}), (2.0, {})], "k2 double, block_rows map<int,int>")
+    out = join.nested_loop_join(a, b, "k", "k2")
+    assert Counter((x, None if m is None else len(m)) for _, x, _, m in out.collect()) == Counter({(2, 1): 1, (3, None): 1, (4, 0): 4})
+    assert join.nested_loop_join(a.limit(0), b, "k", "k2").count() == join.nested_loop_join(a, b.limit(0), "k", "k2").count() == 0
+    strings = frame(spark, [("2",), ("3",)], "k2 string")
+    assert join.nested_loop_join(a, strings, "k", "k2").count() == 2
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 127, 128, 1000])
 def test_random_joins_agree(spark, n):
     r = random.Random(n)
