@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainmill.operators.ordering import fresh
 
+#: A nested loop join's buckets of keys, for keys of these types, and the most rows in a block of one bucket.
+BUCKETS, BLOCK = 4096, 1024
+PLAIN_TYPES = r"boolean|tinyint|smallint|int|bigint|float|double|decimal\(\d+,\d+\)|string|binary|date|timestamp|timestamp_ntz"
 #: Our names for join strategies, and Spark's hints; None leaves the choice to the planner.
-#: Rows of one key that a nested loop join compares at once, at most.
-BLOCK = 1024
 STRATEGIES = {"broadcast": "broadcast", "shuffle_hash": "shuffle_hash", "merge": "merge", "nested_loop": "shuffle_replicate_nl"}
 
 
@@ -33,24 +34,29 @@ def first_match(probe: DataFrame, build: DataFrame, key: str, value: str, order:
     return probe.join(least, key)
 
 
-def blocks(df: DataFrame, key: str, name: str, rows: str, size: int) -> DataFrame:
-    """The rows as lists of at most `size` with equal keys. Rows are cut in their order within a partition, by all columns
+def blocks(df: DataFrame, key: Column, name: str, rows: str, size: int) -> DataFrame:
+    """The rows as lists of at most `size` with equal values of `key`. Rows are cut in their order within a partition, by all columns
     that have one, so a task that is run again cuts them alike."""
     number, place = fresh(df, "number")[0], F.monotonically_increasing_id()
     once = [f for f in df.schema if [c.lower() for c in df.columns].count(f.name.lower()) == 1]
     own = [F.col(f"`{f.name}`") for f in once if not re.search("map<|variant", f.dataType.simpleString())]
-    cut = df.sortWithinPartitions(F.col(key), *own).select(F.col(key).alias(name), F.struct("*").alias(rows), (place - place % size).alias(number))
+    cut = df.sortWithinPartitions(key, *own).select(key.alias(name), F.struct("*").alias(rows), (place - place % size).alias(number))
     return cut.groupBy(name, number).agg(F.collect_list(rows).alias(rows)).select(name, rows)
 
 
 def nested_loop_join(a: DataFrame, b: DataFrame, left: str, right: str) -> DataFrame:
-    """Compares every row of a with every block of b, a block being at most BLOCK rows of one key: where keys repeat, far
-    fewer comparisons than pairs, else as many. The rows of a are dealt evenly, so pairs are made by all cores, however
+    """Compares every row of a with every block of b, a block being at most BLOCK rows of one bucket of keys, and, where
+    the buckets are equal, with every row in it. The rows of a are dealt evenly, so pairs are made by all cores, however
     few partitions a has. For small sides, where that is what is asked for; its time is that of its result at least."""
-    name, rows = fresh(a.crossJoin(b), "block_key", "block_rows")
+    bucket, name, rows = fresh(a.crossJoin(b), "bucket", "block_bucket", "block_rows")
+    kinds = {df.select(key).schema[0].dataType.simpleString() for df, key in ((a, left), (b, right))}
+    hashed = len(kinds) == 1 and re.fullmatch(PLAIN_TYPES, *kinds)  # keys of two types are equal by casts: no buckets
+    of = lambda key: F.when(F.col(key).isNotNull(), F.xxhash64(key) % BUCKETS) if hashed else F.col(key)
     parts = max(a.sparkSession.sparkContext.defaultParallelism, int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = a.repartition(parts).join(hinted(blocks(b, right, name, rows, BLOCK), "nested_loop"), F.col(left) == F.col(name))
-    return found.select("*", F.inline(rows)).drop(name, rows)
+    dealt = a.repartition(parts).withColumn(bucket, of(left))
+    found = dealt.join(hinted(blocks(b, of(right), name, rows, BLOCK), "nested_loop"), F.col(bucket) == F.col(name))
+    pairs = found.drop(bucket, name).select("*", F.inline(rows)).drop(rows)
+    return pairs.where(F.col(left) == F.col(right)) if hashed else pairs
 
 
 def one_to_many(probe: DataFrame, build: DataFrame, key: str, payload: str, count: str = "n", total: str = "total") -> DataFrame:

@@ -49,7 +49,7 @@ def test_nested_loop_join_fixture(spark):
 
 def test_nested_loop_join_compares_blocks_on_all_cores(spark):
     b = spark.range(0, 5000, 1, 1).selectExpr("if(id < 4000, 0, id % 3) k2", "id DIV 2 vb")
-    parts = join.blocks(b, "k2", "k", "rows", 100)
+    parts = join.blocks(b, F.col("k2"), "k", "rows", 100)
     assert parts.count() <= 53 and parts.agg(F.max(F.size("rows")), F.sum(F.size("rows"))).first() == (100, 5000)
     out = join.nested_loop_join(spark.range(0, 40, 1, 1).selectExpr("id % 5 k", "id va"), b, "k", "k2")
     assert out.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
